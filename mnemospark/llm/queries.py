@@ -12,6 +12,7 @@ from .conversations import judge_conversations, rebuild_conversations
 from .leakage import find_leaks
 from .mixing import allocate, mix_report, mix_sources, sized_documents
 from .packing import pack_sessions, place_entries
+from .personal import personal_spans, replace_personal
 from .similar import VectorIndex
 from .spans import SharedSpans
 
@@ -27,6 +28,27 @@ def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(load(spark, d, "messages"), adopt=False)
 
 
+_PERSONAL = (("messages", "content"), ("context_entries", "content_preview"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of personal data in messages and previews."""
+    out = None
+    for table, column in _PERSONAL:
+        found = personal_spans(load(spark, d, table), F.col("id"), F.col(column)).select(F.lit(table).alias("source_table"), "id", "kind")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def p2_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and previews with placeholders."""
+    out = None
+    for table, column in _PERSONAL:
+        new = replace_personal(load(spark, d, table), F.col("id"), F.col(column)).withColumn("source_table", F.lit(table))
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one collection with a cosine of at least 0.97."""
     index = VectorIndex(load(spark, d, "adb_vectors"), load(spark, d, "adb_collections"), cosine=0.97)
@@ -74,5 +96,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p3_found, p5_found, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p5_found, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
 }
