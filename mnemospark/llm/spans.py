@@ -2,8 +2,10 @@
 
 Every window of SEED characters gets a Rabin-Karp hash. Of these, the least of every NEAR successive ones is kept
 (winnowing), which loses nothing: a shared span keeps the same hashes in both records. Kept hashes are counted in Spark.
-A window of the full length can only be shared if the least hash of each stretch in it is repeated, so only such windows
-are hashed at full length, by two independent hashes of 64 bits, and counted in turn. Repeated windows merge into maximal intervals.
+A window of the full length can only be shared if the least hash of each stretch in it is repeated. What is left goes
+through the same again with long seeds, whose surroundings decide: two records that keep the same long seed share a span
+if the seed and the equal characters on its left and right together are long enough. Where many records keep one long
+seed, they aren't paired but counted by each full window around it. Shared windows merge into maximal intervals.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ..session import cut
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Characters of a seed, and of how many successive seeds one is kept. Together they must not exceed the least span.
 SEED, NEAR = 64, 200
+#: Occurrences of one long seed that are paired; more are told apart by the full windows around it first.
+PAIRED = 64
 #: Characters that are hashed at once; a longer text is taken whole.
 CHUNK = 1 << 20
 
@@ -122,29 +126,57 @@ def _seeds(least: int, seed: int, near: int):
     return run
 
 
-def _full_windows(least: int, reach: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
+def _long_seeds(least: int, reach: int, size: int):
+    """The kept long seeds of the windows that are left: two hashes, key, position, and the characters beside them."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("left", pa.string()), ("right", pa.string())])
+    side = least - size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hasher(BASES[0]), Hasher(BASES[1])
         for rows, parts in _chunks(batches, least):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for (key, _, lonely), codes in zip(rows, parts):
+            out: list[tuple] = []
+            for (key, text, lonely), codes in zip(rows, parts):
                 c = codes.astype(np.uint64)
                 s1, s2 = one.sums(c), two.sums(c)
                 runs = sorted((r["first"], r["last"]) for r in lonely)
                 starts = [0, *(last + 1 for _, last in runs)]
                 stops = [*(first - reach for first, _ in runs), len(c) - least + 1]
+                at: set[int] = set()
                 for lo, hi in zip(starts, stops):
                     hi = min(hi, len(c) - least + 1)
-                    if hi > lo:
-                        out[0].append(one.windows(s1, least, lo, hi))
-                        out[1].append(two.windows(s2, least, lo, hi))
-                        out[2].append(np.full(hi - lo, key, np.int64))
-                        out[3].append(np.arange(lo, hi, dtype=np.int32))
-            if out[0]:
-                a, b, k, p = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(k), pa.array(p)], schema=schema)
+                    # the long seeds of a full window make one stretch; in pieces, so that a long text takes no more memory
+                    for p in range(lo, hi, 1 << 16):
+                        q = min(hi, p + (1 << 16))
+                        h = one.windows(s1, size, p, q + side)
+                        at.update((np.lib.stride_tricks.sliding_window_view(h, side + 1).argmin(1) + np.arange(p, q)).tolist())
+                for x in sorted(at):
+                    a, b = one.windows(s1, size, x, x + 1).view(np.int64)[0], two.windows(s2, size, x, x + 1).view(np.int64)[0]
+                    out.append((int(a), int(b), key, x, text[max(0, x - side) : x], text[x + size : x + least]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def _same_sides(need: int):
+    """Of pairs of occurrences, those whose equal characters on both sides of the seed are ``need`` or more together."""
+    schema = pa.schema([("ka", pa.int64()), ("kb", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("pa", pa.int32()), ("pb", pa.int32())])
+
+    def common(x: str, y: str) -> int:
+        n = min(len(x), len(y))
+        if x[:n] == y[:n]:
+            return n
+        return next(i for i in range(n) if x[i] != y[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for ka, kb, at, bt, la, lb, ra, rb in zip(*(b.column(i).to_pylist() for i in range(8))):
+                after = common(ra, rb)
+                before = common(la[::-1], lb[::-1])
+                if before + after >= need:
+                    out.append((ka, kb, before, after, at, bt))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, schema)], schema=schema)
 
     return run
 
@@ -157,10 +189,11 @@ class SharedSpans:
     Shorter texts share nothing. Other columns play no part.
     """
 
-    def __init__(self, documents: DataFrame, least: int = 400, seed: int = SEED, near: int = NEAR):
+    def __init__(self, documents: DataFrame, least: int = 400, seed: int = SEED, near: int = NEAR, paired: int = PAIRED):
         if seed + near - 1 > least:
             raise ValueError("seed + near - 1 must not exceed least")
-        self.least = least
+        self.least, self.size = least, max(1, least * 3 // 4)
+        side = least - self.size
         texts = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter((F.col("doc_id").isNotNull()) & (F.length("text") >= least))
         texts = texts.withColumn("key", F.xxhash64("text"))
         self.members = texts.select("key", "doc_id", F.length("text").alias("chars"))
@@ -176,21 +209,32 @@ class SharedSpans:
         wide = F.exists(F.sequence(F.lit(1), F.size(runs) - 1), lambda i: F.element_at(runs, i + 1)["first"] - reach > F.element_at(runs, i)["last"] + 1)
         chosen = lonely.filter(F.col("again") & wide).select("key", "lonely")
         bodies = texts.select("key", "text").join(chosen, "key").dropDuplicates(["key"]).select("key", "text", "lonely")
-        full = bodies.mapInArrow(_full_windows(least, reach), "h1 long, h2 long, key long, pos int")
-        groups = full.groupBy("h1", "h2").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum(F.shiftright(F.xxhash64("key"), 8)).alias("who")).filter("a < b").select("h1", "h2", "who")
-        #: Windows that stand in more than one different text: (key, pos, h1, h2, who); ``who`` tells sets of texts apart.
-        self.windows = cut(full.join(groups, ["h1", "h2"]))
+        held = bodies.mapInArrow(_long_seeds(least, reach, self.size), "h1 long, h2 long, key long, pos int, left string, right string")
+        held = cut(held)
+        sizes = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h1", "h2", "n")
+        held = held.join(sizes, ["h1", "h2"])
+        few = held.filter(F.col("n") <= paired).drop("n")
+        x, y = few.alias("x"), few.alias("y")
+        both = x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & (F.col("x.key") < F.col("y.key")))
+        both = both.select("x.key", F.col("y.key").alias("kb"), "x.pos", F.col("y.pos").alias("pb"), "x.left", F.col("y.left").alias("lb"), "x.right", F.col("y.right").alias("rb"))
+        #: Pairs of occurrences that share a span: keys, positions of the seed, equal characters before and after it.
+        self.met = cut(both.mapInArrow(_same_sides(side), "ka long, kb long, before int, after int, pa int, pb int"))
+        many = held.filter(F.col("n") > paired)
+        offset = F.col("o")
+        windows = many.select("h1", "h2", "key", "pos", "left", "right", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("o"))
+        windows = windows.filter((F.length("left") >= side - offset) & (F.length("right") >= offset))
+        beside = F.xxhash64(F.expr(f"right(left, {side} - o)"), F.expr("left(right, o)"), "o")
+        windows = windows.select("h1", "h2", beside.alias("h3"), "key", (F.col("pos") - side + offset).alias("start"))
+        groups = windows.groupBy("h1", "h2", "h3").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h1", "h2", "h3")
+        #: Full windows around the seeds of many, that stand in more than one text.
+        self.windows = cut(windows.join(groups, ["h1", "h2", "h3"]))
 
     def pairs(self) -> DataFrame:
-        """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, distinct: records that share a span.
-
-        Of successive windows of a text that the same set of texts holds, only the first makes pairs.
-        """
-        w = Window.partitionBy("key").orderBy("pos")
-        first = F.coalesce((F.lag("pos").over(w) != F.col("pos") - 1) | (F.lag("who").over(w) != F.col("who")), F.lit(True))
-        starts = self.windows.withColumn("first", first).filter("first").select("h1", "h2").distinct()
-        held = self.windows.join(starts, ["h1", "h2"], "left_semi").select("h1", "h2", "key").distinct()
-        keys = held.select("h1", "h2", F.col("key").alias("ka")).join(held.select("h1", "h2", F.col("key").alias("kb")), ["h1", "h2"]).filter("ka < kb").select("ka", "kb").distinct()
+        """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, distinct: records that share a span."""
+        once = self.windows.select("h1", "h2", "h3", "key").distinct()
+        other = once.select("h1", "h2", "h3", F.col("key").alias("kb"))
+        keys = once.withColumnRenamed("key", "ka").join(other, ["h1", "h2", "h3"]).filter("ka < kb").select("ka", "kb")
+        keys = self.met.select("ka", "kb").unionByName(keys).distinct()
         m = self.members.select("key", "doc_id").distinct()
         a, b = m.select(F.col("key").alias("ka"), F.col("doc_id").alias("p")), m.select(F.col("key").alias("kb"), F.col("doc_id").alias("q"))
         across = keys.join(a, "ka").join(b, "kb").select("p", "q")
@@ -200,10 +244,14 @@ class SharedSpans:
         return both.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b")).distinct()
 
     def _runs(self) -> DataFrame:
-        w = Window.partitionBy("key").orderBy("pos")
-        new = F.when(F.col("pos") - F.lag("pos").over(w) <= self.least, 0).otherwise(1)
-        runs = self.windows.select("key", "pos").distinct().withColumn("new", new).withColumn("run", F.sum("new").over(w))
-        return runs.groupBy("key", "run").agg(F.min("pos").alias("start"), (F.max("pos") + self.least).alias("end")).drop("run")
+        end = F.lit(self.size)
+        one = self.met.select(F.col("ka").alias("key"), (F.col("pa") - F.col("before")).alias("start"), (F.col("pa") + end + F.col("after")).alias("end"))
+        two = self.met.select(F.col("kb").alias("key"), (F.col("pb") - F.col("before")).alias("start"), (F.col("pb") + end + F.col("after")).alias("end"))
+        rows = one.unionByName(two).unionByName(self.windows.select("key", "start", (F.col("start") + self.least).alias("end"))).distinct()
+        w = Window.partitionBy("key").orderBy("start", "end")  # a text's own intervals
+        before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+        return rows.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
     def intervals(self) -> DataFrame:
         """(doc_id, start, end): the maximal intervals of each record's text, in characters from 0, that stand elsewhere, too.
