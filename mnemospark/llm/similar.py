@@ -91,7 +91,7 @@ class VectorIndex:
 
     Per (id, collection_id) only the newest row counts. A vector is usable if its collection is registered under exactly
     this id with exactly this length, and all its values are finite, not all zero; null ids, vectors and elements are
-    not usable. The rotations are learned from at most ``fit_rows`` vectors of each length, in order of a hash.
+    not usable. The rotations are learned from at most ``fit_rows`` vectors of each length, chosen by a hash.
     """
 
     def __init__(self, vectors: DataFrame, collections: DataFrame, cosine: float = 0.97, recall: float = 0.997, fit_rows: int = FIT_ROWS):
@@ -99,12 +99,15 @@ class VectorIndex:
         dims = collections.filter("id IS NOT NULL").groupBy(F.col("id").alias("collection_id")).agg(F.max("dim").cast("long").alias("dim"))
         self.raw = vectors.filter("id IS NOT NULL").select("id", "collection_id", F.col("vector").cast("array<float>").alias("vector"), F.col("updated_at").cast("long").alias("updated_at"), F.col("created_at").cast("long").alias("created_at")).join(dims, "collection_id")
         lengths = [r[0] for r in dims.select("dim").distinct().orderBy("dim").collect() if r[0] and r[0] > 0]
-        counts = self.raw.groupBy("collection_id").count().agg(F.max("count")).first()[0] or 0
-        self.tables, self.bits, self.radius = plan_index(counts, cosine, recall)
+        sizes = self.raw.groupBy("collection_id", "dim").count().groupBy("dim").agg(F.max("count"), F.sum("count")).collect()  # one row for each length
+        self.tables, self.bits, self.radius = plan_index(max((r[1] for r in sizes), default=0), cosine, recall)
+        of = {r[0]: r[2] for r in sizes}
         models = {}
         for dim in lengths:
-            good = self.raw.filter((F.col("dim") == dim) & (F.size("vector") == dim)).select("vector", _mark().alias("m"))
-            sample = [r[0] for r in good.orderBy("m").limit(fit_rows).select("vector").collect()]
+            share = min(1.0, 1.3 * fit_rows / max(1, of.get(dim, 0)))
+            some = F.pmod(_mark(), F.lit(1 << 30)) <= int(share * (1 << 30))
+            good = self.raw.filter((F.col("dim") == dim) & (F.size("vector") == dim) & some).select("vector")
+            sample = [r[0] for r in good.limit(fit_rows).collect()]
             x = np.array([[np.nan if e is None else e for e in v] for v in sample], float).reshape(-1, dim)
             x = x[np.isfinite(x).all(1) & (x != 0).any(1)]
             models[dim] = learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), max(128, self.tables * self.bits))
