@@ -34,4 +34,10 @@ def word_count(c: Column) -> Column:
 def month_of_ms(ms: Column) -> Column:
     """UTC month ``YYYY-MM`` of epoch milliseconds; null and years outside 1-9999 give ``unknown``."""
     ok = ms.between(-62_135_596_800_000, 253_402_300_799_999)
-    return F.coalesce(F.when(ok, F.date_format(F.timestamp_millis(F.when(ok, ms)), "yyyy-MM")), F.lit("unknown"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.when(ok, ms) / 86_400_000).cast("int"))
+    return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("unknown"))
+
+
+def ms_of(ts: Column) -> Column:
+    """Epoch milliseconds of a timestamp without a zone, taken as UTC."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

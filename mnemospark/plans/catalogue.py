@@ -1,6 +1,6 @@
 """All queries outside the subpackage for training data."""
 
-from . import problem_sql, problems
+from . import problem_sql, problems, reference, reference_sql
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {**problem_sql.ORACLES}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+ORACLES: dict[str, str] = {**reference_sql.ORACLES, **problem_sql.ORACLES}
