@@ -206,7 +206,7 @@ class QueryParser:
         terms, prefix = [], False
         while True:
             kind, text = self._take()
-            if kind not in ("word", "string"):
+            if kind not in ("word", "string") or (kind == "word" and text in ("AND", "OR", "NOT")):
                 raise InvalidArgument(f"syntax error near {text!r}")
             raw = text[1:-1].replace('""', '"') if kind == "string" else text
             prefix = self._peek() == ("sign", "*")
@@ -302,14 +302,16 @@ class TextIndex:
 
             def close(batches):
                 for b in batches:
-                    ids, lists = b.column(0).to_pylist(), [b.column(k + 1).to_pylist() for k in range(many)]
-                    good = [d for d, *ats in zip(ids, *lists) if _near(ats, sizes, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(good, pa.string())], names=["doc_id"])
+                    rows = []
+                    for d, *ats in zip(*(b.column(i).to_pylist() for i in range(many + 1))):
+                        if kept := _near(ats, sizes, n):
+                            rows.append((d, kept))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "kept"])
 
-            near = out.mapInArrow(close, "doc_id string")
-            for p in tree.phrases:
-                found[id(p)] = found[id(p)].join(near, "doc_id", "left_semi")
-            return near
+            near = out.mapInArrow(close, "doc_id string, kept array<array<bigint>>")
+            for k, p in enumerate(tree.phrases):
+                found[id(p)] = found[id(p)].drop("at").join(near.select("doc_id", F.col("kept")[k].alias("at")), "doc_id")
+            return near.select("doc_id")
         parts = [self._match(x, found) for x in tree.parts]
         out = parts[0]
         for x in parts[1:]:
@@ -325,7 +327,7 @@ class TextIndex:
         scored = None
         for p in phrases_of(tree):
             hits = found[id(p)].select("doc_id", "length", F.size("at").alias("tf"))
-            n = hits.agg(F.count("*").alias("n"))
+            n = self._phrase(p).agg(F.count("*").alias("n"))  # wherever it stands, near or not
             one = hits.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(stats))  # one row each
             idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(0.0))
             idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
@@ -343,17 +345,15 @@ class TextIndex:
         return out
 
 
-def _near(ats: list[list[int]], sizes: list[int], n: int) -> bool:
-    """Whether one place of each phrase can be chosen with at most n tokens between the end of the first and the begin of the last."""
-    events = sorted((x, k) for k, at in enumerate(ats) for x in at)
-    last: dict[int, int] = {}
-    for x, k in events:
-        last[k] = x
-        if len(last) == len(ats):
-            lo = min(last, key=lambda j: last[j])
-            if max(last.values()) - (last[lo] + sizes[lo]) <= n and (max(last.values()) < TEXT_AT) == (last[lo] < TEXT_AT):
-                return True
-    return False
+def _near(ats: list[list[int]], sizes: list[int], n: int) -> list[list[int]] | None:
+    """The places of each phrase that are close to one of every other: at most n tokens between its end and the last begin."""
+    kept: list[set[int]] = [set() for _ in ats]
+    for last in {x for at in ats for x in at}:
+        inside = [[x for x in at if last - size - n <= x <= last] for at, size in zip(ats, sizes)]
+        if all(inside):
+            for k, xs in zip(kept, inside):
+                k.update(xs)
+    return [sorted(k) for k in kept] if kept[0] else None
 
 
 def snippet(text: str, terms: list[tuple[list[str], bool]], stemmed: bool = True, width: int = 10, left: str = "<b>", right: str = "</b>", more: str = "...") -> str:

@@ -110,6 +110,14 @@ def _nearest(by_dim, k: int, metric: str, include_self: bool):
     return run
 
 
+def _directions(x: np.ndarray, metric: str) -> np.ndarray:
+    """For cosine, vectors of length one; zeros stay."""
+    if metric != "cosine" or not len(x):
+        return x
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
 class ListIndex:
     """Approximate search: rows in lists by their nearest centre; a query looks into the ``probes`` nearest lists.
 
@@ -117,11 +125,12 @@ class ListIndex:
     ``list`` and a search reads the probed folders only.
     """
 
-    def __init__(self, df: DataFrame, lists: int = 64, fit_rows: int = 20_000, rounds: int = 8, seed: int = 3):
+    def __init__(self, df: DataFrame, lists: int = 64, metric: str = "cosine", fit_rows: int = 20_000, rounds: int = 8, seed: int = 3):
+        self.metric = metric
         usable = df.filter("id IS NOT NULL AND vector IS NOT NULL")
         n = usable.count()
         part = usable if n <= fit_rows else usable.sample(min(1.0, 1.2 * fit_rows / n), seed)
-        x = np.array([r[0] for r in part.select(F.col("vector").cast("array<double>")).limit(fit_rows).collect()], float)
+        x = _directions(np.array([r[0] for r in part.select(F.col("vector").cast("array<double>")).limit(fit_rows).collect()], float), metric)
         rng = np.random.default_rng(seed)
         centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else np.zeros((1, 1))
         for _ in range(rounds if len(x) else 0):
@@ -137,15 +146,15 @@ class ListIndex:
             for b in batches:
                 if b.num_rows:
                     v = np.array(b.column(at).to_pylist(), float)
-                    own = distances(v, centres, "euclidean").argmin(1).astype(np.int32)
+                    own = distances(_directions(v, metric), centres, "euclidean").argmin(1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "list"])
 
         self.rows = cut(usable.mapInArrow(assign, schema))
 
-    def search(self, query: Sequence[float], k: int = 10, metric: str = "cosine", probes: int = 8) -> DataFrame:
+    def search(self, query: Sequence[float], k: int = 10, probes: int = 8) -> DataFrame:
         """(id, score, metadata) of the k nearest rows in the probed lists."""
-        near = distances(np.array([query]), self.centres, "euclidean")[0].argsort()[:probes]
-        return vector_search(self.rows.filter(F.col("list").isin([int(c) for c in near])), query, k, metric)
+        near = distances(_directions(np.array([query], float), self.metric), self.centres, "dot" if self.metric == "dot" else "euclidean")[0].argsort()[:probes]
+        return vector_search(self.rows.filter(F.col("list").isin([int(c) for c in near])), query, k, self.metric)
 
 
 def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str] = ("id",), order: Column | None = None) -> DataFrame:

@@ -455,9 +455,9 @@ SHARED = {
     "rel_semi": ("SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)", "customer orders"),
     "rel_anti": ("SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", "customer orders"),
     "rel_full_outer": ("SELECT coalesce(c_nationkey, s_nationkey) AS nation, customers, suppliers FROM (SELECT c_nationkey, count(*) AS customers FROM {customer} GROUP BY c_nationkey) a FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM {supplier} GROUP BY s_nationkey) b ON c_nationkey = s_nationkey", "customer supplier"),
-    "rel_window_rank": ("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM {orders}", "orders"),
+    "rel_window_rank": ("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM {orders}", "orders"),
     "rel_window_lag": ("SELECT event_id, user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change FROM {events}", "events"),
-    "rel_rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_linestatus) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem"),
+    "rel_rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS BIGINT) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem"),
     "rel_cube": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders"),
     "rel_grouping_sets": ("SELECT p_brand, p_size, count(*) AS n FROM {part} GROUP BY GROUPING SETS ((p_brand), (p_size), ())", "part"),
     "rel_union": ("SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}", "customer supplier"),
@@ -472,7 +472,7 @@ SHARED = {
     "rel_distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}", "orders"),
     "rel_count_distinct": ("SELECT event_type, count(DISTINCT user_id) AS users, count(value) AS n FROM {events} GROUP BY event_type", "events"),
     "rel_case_coalesce": ("SELECT doc_id, coalesce(lower(trim(source)), 'none') AS source, CASE WHEN n_chars IS NULL THEN 'null' WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS size FROM {documents}", "documents"),
-    "rel_string_functions": ("SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substr(p_name, 2, 3) AS s, replace(p_type, ' ', '_') AS t, instr(p_name, 'a') AS i, p_brand || '-' || p_size AS b FROM {part}", "part"),
+    "rel_string_functions": ("SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 2, 3) AS s, replace(p_type, ' ', '_') AS t, CAST(instr(p_name, 'a') AS BIGINT) AS i, p_brand || '-' || p_size AS b FROM {part}", "part"),
 }
 for _name, (_text, _tables) in SHARED.items():
     _sql(_name, _text, _tables)

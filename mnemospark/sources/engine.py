@@ -81,7 +81,7 @@ class Collection:
 
     def reindex(self, lists: int = 64) -> vector.ListIndex:
         """A new inverted-list index for approximate search."""
-        return vector.ListIndex(self.rows(), lists)
+        return vector.ListIndex(self.rows(), lists, self.metric)
 
 
 class Engine:
