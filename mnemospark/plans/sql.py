@@ -20,13 +20,11 @@ SHIMS = ((r"strftime\s*\(\s*'%s'\s*,\s*'now'\s*\)", "unix_timestamp()"), (r"strf
 
 
 def shim(sql: str) -> str:
-    """Rewrite a few of SQLite's functions outside of quotes; numbered parameters become positional."""
-    parts = re.split(r"('(?:[^']|'')*')", sql)
+    """Rewrite a few of SQLite's functions; numbered parameters outside of quotes become positional."""
     for pattern, to in SHIMS:
         sql = re.sub(pattern, to, sql, flags=re.IGNORECASE)
-    if "?" in "".join(parts[::2]):
-        sql = re.sub(r"\?\d+", "?", sql)
-    return sql
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    return "".join(re.sub(r"\?\d+", "?", p) if i % 2 == 0 else p for i, p in enumerate(parts))
 
 
 def query(store: Store, sql: str, params: Sequence | dict | None = None) -> DataFrame:

@@ -469,11 +469,7 @@ class Engine:
         out = sync.merge_counts(log, ops, self.strategy).first().asDict()
         if (top := ops.agg(F.max("hlc_ts")).first()[0]) is not None:
             self.clock.update(top)
-        m = sync.merge_ops(log, ops, self.strategy)
-        with self.store.transaction() as s:
-            old = s._open_tx["tables"].get("sync_log", [])
-            s._log("sync_log", m, "put")
-            s._open_tx["tables"]["sync_log"] = [f for f in s._open_tx["tables"]["sync_log"] if f not in old]
+        self.store.rewrite("sync_log", sync.merge_ops(log, ops, self.strategy))
         return out
 
     def set_strategy(self, strategy: str) -> None:

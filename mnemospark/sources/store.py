@@ -183,15 +183,19 @@ class Store:
                             self.delete(child, below)
             self._log(table, keys, "delete")
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Rewrite a whole table."""
-        if table in APPEND_ONLY:
-            raise InvalidArgument(f"{table} is append-only")
+    def rewrite(self, table: str, rows: DataFrame) -> None:
+        """Put rows in place of all that a table holds; ``rows`` may be read from it."""
         with self.transaction():
-            old = self._open_tx["tables"].get(table, [])
+            old = list(self._open_tx["tables"].get(table, []))
             self._log(table, rows, "put")
             self._open_tx["tables"][table] = [f for f in self._open_tx["tables"][table] if f not in old]
 
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """:meth:`rewrite` for tables that aren't append-only."""
+        if table in APPEND_ONLY:
+            raise InvalidArgument(f"{table} is append-only")
+        self.rewrite(table, rows)
+
     def create_table(self, name: str, schema: T.StructType) -> None:
         """A new table of the user's own."""
         with self.transaction():
