@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
+from ..session import cut
 from .porter import stem
 
 K1, B = 1.2, 0.75
@@ -45,24 +46,42 @@ def tokens(c: Column) -> Column:
 _PAIRS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.LongType())), T.StructField("length", T.LongType())])
 
 
-def _postings(stemmed: bool):
+def _postings(stemmed: bool, terms: frozenset[str] | None = None, prefixes: tuple[str, ...] = ()):
+    """Postings of (doc_id, text) rows, of all terms or of those wanted; and for each batch a row with term "" for its
+    statistics: the number of documents as the only position, their tokens as the length."""
     schema = pa.schema([("doc_id", pa.string()), ("term", pa.string()), ("positions", pa.list_(pa.int64())), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+
+        def term_of(raw: str) -> str | None:
+            folded = raw.translate(_LOWER)
+            t = stem(folded) if stemmed else folded
+            if terms is not None and t not in terms and not (prefixes and t.startswith(prefixes)):
+                t = None
+            if len(known) < 500_000:
+                known[raw] = t
+            return t
+
         for b in batches:
-            rows = []
-            for doc, id_tokens, text_tokens in zip(*(b.column(i).to_pylist() for i in range(3))):
+            rows, total = [], 0
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at: dict[str, list[int]] = {}
-                for base, toks in ((0, id_tokens or []), (TEXT_AT, text_tokens or [])):
-                    for i, t in enumerate(toks):
-                        at.setdefault(stem(t) if stemmed else t, []).append(base + i)
-                n = len(id_tokens or []) + len(text_tokens or [])
+                n = 0
+                for base, part in ((0, doc), (TEXT_AT, text or "")):
+                    toks = _TOKEN.findall(part)
+                    n += len(toks)
+                    for i, raw in enumerate(toks):
+                        t = known[raw] if raw in known else term_of(raw)
+                        if t is not None:
+                            at.setdefault(t, []).append(base + i)
+                total += n
                 rows += [(doc, t, p, n) for t, p in at.items()]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows.append((None, "", [b.num_rows], total))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
@@ -229,41 +248,82 @@ def phrases_of(tree) -> list[Phrase]:
     return [p for x in parts for p in phrases_of(x)]
 
 
+def _all_phrases(tree) -> list[Phrase]:
+    if isinstance(tree, Phrase):
+        return [tree]
+    return [p for x in (tree.phrases if isinstance(tree, Near) else tree.parts) for p in _all_phrases(x)]
+
+
 class TextIndex:
-    """An inverted index: :attr:`postings` (doc_id, term, positions, length) and :attr:`docs` (doc_id, length).
+    """An inverted index over ``documents`` (id, text).
 
-    ``documents`` has (id, text); of several rows of one id the greatest text counts (give them deduplicated to choose);
-    null ids are left out, a null text has no tokens. Save :attr:`postings` partitioned or sorted by term and a search
-    reads the terms of its query only.
+    Of several rows of one id the greatest text counts, unless ``unique`` says that there are none; null ids are left out,
+    a null text has no tokens. An index that isn't saved is never built as a whole: a search makes the postings of its own
+    terms in one pass over the texts. A saved one is sorted by term, and a search reads the parts with its terms.
     """
 
-    def __init__(self, documents: DataFrame, stemmed: bool = True):
-        self.stemmed = stemmed
-        self.texts = documents.filter("id IS NOT NULL").groupBy(F.col("id").cast("string").alias("doc_id")).agg(F.max("text").alias("text"))
-        split = self.texts.select("doc_id", tokens(F.col("doc_id")).alias("a"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("b"))
-        self.docs = split.select("doc_id", (F.size("a") + F.size("b")).cast("long").alias("length"))
-        self.postings = split.mapInArrow(_postings(stemmed), _PAIRS)
+    def __init__(self, documents: DataFrame, stemmed: bool = True, unique: bool = False, searchable_ids: bool = True):
+        self.stemmed, self.saved = stemmed, None
+        rows = documents.filter("id IS NOT NULL").select(F.col("id").cast("string").alias("doc_id"), "text")
+        self.texts = rows if unique else rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+        self.searchable_ids = searchable_ids
+
+    def _make(self, terms: frozenset[str] | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+        emit = _postings(self.stemmed, terms, prefixes)
+        if self.searchable_ids:
+            return self.texts.mapInArrow(emit, _PAIRS)
+
+        def without_ids(batches):
+            def hidden():
+                for b in batches:
+                    kept.append(b.column(0).to_pylist())
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{i}" for i in range(b.num_rows)]), b.column(1)], names=["doc_id", "text"])
+
+            kept: list[list] = []
+            # a batch's rows go by number, one token each, which is taken off again
+            for out in emit(hidden()):
+                ids, term, pos, length = (out.column(i).to_pylist() for i in range(4))
+                rows = []
+                for i, t, p, n in zip(ids, term, pos, length):
+                    if i is None:
+                        rows.append((None, t, p, n - p[0]))
+                    elif p := [x for x in p if x >= TEXT_AT]:
+                        rows.append((kept[-1][int(i)], t, p, n - 1))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out.schema)], schema=out.schema)
+
+        return self.texts.mapInArrow(without_ids, _PAIRS)
 
     def save(self, path: str) -> None:
-        """Write the index; postings sorted by term."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Write the index."""
+        self._make().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
     @classmethod
     def open(cls, spark, path: str, stemmed: bool = True) -> "TextIndex":
         """Read an index that was saved."""
         out = cls.__new__(cls)
-        out.stemmed = stemmed
-        out.postings, out.texts, out.docs = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "texts", "docs"))
+        out.stemmed, out.saved, out.searchable_ids = stemmed, spark.read.parquet(f"{path}/postings"), True
+        out.texts = spark.read.parquet(f"{path}/texts")
         return out
 
+    def _wanted(self, phrases: list[Phrase]) -> DataFrame:
+        """The postings that a query needs and the statistics, written once."""
+        exact = {t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)}
+        starts = tuple(sorted({p.terms[-1] for p in phrases if p.prefix and p.terms}))
+        if self.saved is None:
+            return cut(self._make(frozenset(exact), starts))
+        keep = F.col("term").isin("", *sorted(exact))
+        for x in starts:
+            keep = keep | F.col("term").startswith(x)
+        return cut(self.saved.filter(keep))
+
     # ---- matching ----
 
     def _term(self, p: Phrase, i: int) -> DataFrame:
         t, last = p.terms[i], i == len(p.terms) - 1
         keep = F.col("term").startswith(t) if p.prefix and last else F.col("term") == t
-        rows = self.postings.filter(keep).select("doc_id", "length", "positions")
+        rows = self._now.filter("doc_id IS NOT NULL").filter(keep).select("doc_id", "length", "positions")
         if p.prefix and last:
             rows = rows.groupBy("doc_id", "length").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
         return rows
@@ -271,7 +331,7 @@ class TextIndex:
     def _phrase(self, p: Phrase) -> DataFrame:
         """(doc_id, length, at): where the phrase begins in each document that has it."""
         if not p.terms:
-            return self.docs.filter(F.lit(False)).select("doc_id", "length", F.array().cast("array<bigint>").alias("at"))
+            return self._now.filter(F.lit(False)).select("doc_id", "length", F.array().cast("array<bigint>").alias("at"))
         out = self._term(p, 0).withColumnRenamed("positions", "at")
         for i in range(1, len(p.terms)):
             nxt = self._term(p, i).select("doc_id", F.expr(f"transform(positions, x -> x - {i})").alias("p"))
@@ -322,8 +382,9 @@ class TextIndex:
         """(doc_id, rank[, snippet]) of the matching documents, best first, ties by id."""
         tree = QueryParser(self.stemmed).parse(query)
         found: dict[int, DataFrame] = {}
+        self._now = self._wanted(_all_phrases(tree))
         match = self._match(tree, found)
-        stats = self.docs.agg(F.count("*").alias("total"), F.avg("length").alias("average"))
+        stats = self._now.filter("term = ''").agg(F.sum(F.col("positions")[0]).alias("total"), (F.sum("length") / F.sum(F.col("positions")[0])).alias("average"))
         scored = None
         for p in phrases_of(tree):
             hits = found[id(p)].select("doc_id", "length", F.size("at").alias("tf"))
@@ -396,12 +457,8 @@ def _snippets(terms, stemmed: bool):
 
 def search_messages(messages: DataFrame, query: str, top_k: int = 10, conversation_id: str | None = None, stemmed: bool = False) -> DataFrame:
     """Messages (id, conversation_id, role, content) that match, with the statistics of all messages: (id, conversation_id, role, content, rank)."""
-    index = TextIndex(messages.select(F.lit(None).cast("string").alias("_"), F.col("id"), F.col("content").alias("text")).drop("_"), stemmed)
     # ids of messages aren't searchable
-    index.postings = index.postings.withColumn("positions", F.filter("positions", lambda x: x >= TEXT_AT)).filter(F.size("positions") > 0)
-    plain = index.texts.select("doc_id", F.size(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).cast("long").alias("length"))
-    index.docs = plain
-    index.postings = index.postings.drop("length").join(plain, "doc_id")
+    index = TextIndex(messages.select("id", F.col("content").alias("text")), stemmed, searchable_ids=False)
     found = index.search(query, None)
     rows = found.join(messages.select("id", "conversation_id", "role", "content").dropDuplicates(["id"]), found.doc_id == F.col("id"))
     if conversation_id is not None:

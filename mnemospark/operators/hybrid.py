@@ -58,7 +58,7 @@ def tri_modal_query(vectors: DataFrame | None, edges: DataFrame | None, index: T
     """
     if abs(alpha + beta + gamma - 1) > 0.01:
         raise InvalidArgument("alpha + beta + gamma must be 1")
-    spark = next(x.sparkSession if isinstance(x, DataFrame) else x.docs.sparkSession for x in (vectors, edges, index) if x is not None)
+    spark = next(x.sparkSession if isinstance(x, DataFrame) else x.texts.sparkSession for x in (vectors, edges, index) if x is not None)
     v = spark.createDataFrame([], "id string, vec_sim double, metadata string")
     g = spark.createDataFrame([], "id string, graph_score double")
     t = spark.createDataFrame([], "id string, text_score double")

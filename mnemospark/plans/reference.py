@@ -196,7 +196,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _search(text: str, stemmed: bool = False, k: int | None = None, snippets: bool = False):
     def f(spark: SparkSession, d: str) -> DataFrame:
-        found = fulltext.TextIndex(_texts(spark, d), stemmed).search(text, k, snippets)
+        found = fulltext.TextIndex(_texts(spark, d), stemmed, unique=True).search(text, k, snippets)
         return found.select("doc_id", _r("rank"), *(["snippet"] if snippets else []))
 
     return f
@@ -239,7 +239,7 @@ def hybrid_trimodal(spark: SparkSession, d: str) -> DataFrame:
     """Vector, graph and text."""
     _, edges = _graph(spark, d)
     q = _first(_embeddings(spark, d))
-    index = fulltext.TextIndex(_texts(spark, d), False)
+    index = fulltext.TextIndex(_texts(spark, d), False, unique=True)
     return hybrid.tri_modal_query(_string_ids(spark, d), edges, index, q, "0", "gateway", 0.4, 0.3, 0.3, 2, 20).select("id", _r("score"), _r("vector_score"), _r("graph_score"), _r("text_score"))
 
 

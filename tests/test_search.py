@@ -238,9 +238,7 @@ def fts():
 
 @pytest.fixture(scope="module")
 def index(spark):
-    i = fulltext.TextIndex(spark.createDataFrame(list(TEXTS.items()), "id string, text string"))
-    i.postings, i.docs = i.postings.cache(), i.docs.cache()
-    return i
+    return fulltext.TextIndex(spark.createDataFrame(list(TEXTS.items()), "id string, text string"))
 
 
 @pytest.mark.parametrize("query", QUERIES)
