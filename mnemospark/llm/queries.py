@@ -55,6 +55,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return index.pairs().select("collection_id", "id_a", "id_b").distinct()
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every embedding whose id is divisible by 100, out of all."""
+    e = load(spark, d, "embeddings").select(F.lit("e").alias("collection_id"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.lit(0).alias("updated_at"), F.lit(0).alias("created_at"), "vec_id")
+    dims = e.agg(F.max(F.size("vector")).alias("dim")).select(F.lit("e").alias("id"), "dim")
+    index = VectorIndex(e, dims, cosine=0.97)
+    found = index.nearest(e.filter("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that fill their windows with no token left over."""
     packed = pack_sessions(load(spark, d, "context_entries"))
@@ -96,5 +105,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p5_found, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p5_found, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
 }

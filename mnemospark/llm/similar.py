@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import latest_rows
@@ -82,6 +83,12 @@ def _encoder(models: dict, tables: int, bits: int):
     return run
 
 
+def _cosine(a: str, b: str):
+    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, p: s + p.cast("double") * p))
+    return dot / (norm(a) * norm(b))
+
+
 def _mark():
     return F.xxhash64("vector")
 
@@ -130,21 +137,47 @@ class VectorIndex:
         joined = rows.alias("x").hint("merge").join(rows.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.vid") < F.col("y.vid")) & near)
         return joined.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
 
+    def nearest(self, queries: DataFrame, k: int = 10, probe: int = 2) -> DataFrame:
+        """(collection_id, query_id, id, cosine, rank): the k most similar vectors of the same collection for each query.
+
+        ``queries`` has (collection_id, id) of indexed vectors; a vector isn't its own neighbour, ties go by id. Every
+        bucket within ``probe`` bits of a query's substrings is looked into, so each code within
+        ``tables * (probe + 1) - 1`` bits is a candidate (pigeonhole), and all candidates are reranked on floats. Where
+        fewer than k are met, fewer come out.
+        """
+        masks = [sum(1 << b for b in bits) for r in range(probe + 1) for bits in combinations(range(self.bits), r)]
+        asked = self.codes.join(queries.select("collection_id", "id").distinct(), ["collection_id", "id"], "left_semi")
+        flips = F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")
+        probes = asked.select(F.col("vid").alias("q"), "collection_id", F.posexplode("subs").alias("t", "s")).select("q", "collection_id", "t", "s", flips)
+        probes = probes.select("q", F.xxhash64("collection_id", "t", F.col("s").bitwiseXOR(F.col("m"))).alias("k"))
+        rows = self.codes.select(F.posexplode("subs").alias("t", "s"), "collection_id", "vid").select(F.xxhash64("collection_id", "t", "s").alias("k"), "vid")
+        met = cut(probes.join(rows, "k").filter("q <> vid").select("q", "vid").distinct())
+        need = met.select("vid").unionByName(met.select(F.col("q").alias("vid"))).distinct()
+        floats = self._floats(need)
+        scored = met.join(floats.select(F.col("vid").alias("q"), F.col("vector").alias("va")), "q").join(floats.select("vid", F.col("vector").alias("vb")), "vid")
+        names = self.codes.select("vid", "collection_id", "id")
+        scored = scored.select("q", "vid", _cosine("va", "vb").alias("cosine")).join(names, "vid")
+        w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return best.join(names.select(F.col("vid").alias("q"), F.col("id").alias("query_id")), "q").select("collection_id", "query_id", "id", "cosine", "rank")
+
+    def _floats(self, need: DataFrame) -> DataFrame:
+        """(vid, vector) of the vectors needed, each in its newest state."""
+        floats = self.raw.select(F.xxhash64("collection_id", "id").alias("vid"), _mark().alias("mark"), "vector")
+        known = self.codes.select("vid", "mark").join(need, "vid", "left_semi")
+        return floats.join(known, ["vid", "mark"], "left_semi").groupBy("vid").agg(F.first("vector").alias("vector"))
+
     def pairs(self) -> DataFrame:
         """(collection_id, id_a, id_b, cosine): all pairs id_a < id_b with at least this cosine, but for few that are missed."""
         heads = cut(self.candidates())
         need = heads.select(F.col("a").alias("vid")).unionByName(heads.select(F.col("b").alias("vid"))).distinct()
         twins = self.codes.select("twin", "vid", "collection_id", "id", "mark")
         lead = twins.groupBy("twin").agg(F.min("vid").alias("head"), F.count("*").alias("copies"))
-        floats = self.raw.select(F.xxhash64("collection_id", "id").alias("vid"), _mark().alias("mark"), "vector")
-        known = self.codes.select("vid", "mark").join(need, "vid", "left_semi")
-        floats = floats.join(known, ["vid", "mark"], "left_semi").groupBy("vid").agg(F.first("vector").alias("vector"))
-        dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
-        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, p: s + p.cast("double") * p))
+        floats = self._floats(need)
         scored = (
             heads.join(floats.select(F.col("vid").alias("a"), F.col("vector").alias("va")), "a")
             .join(floats.select(F.col("vid").alias("b"), F.col("vector").alias("vb")), "b")
-            .select("a", "b", (dot / (norm("va") * norm("vb"))).alias("cosine")).filter(F.col("cosine") >= self.cosine)
+            .select("a", "b", _cosine("va", "vb").alias("cosine")).filter(F.col("cosine") >= self.cosine)
         )
         member = twins.join(lead, "twin")
         many = member.select("head", "collection_id", "id")

@@ -82,3 +82,23 @@ def test_plan():
     same = (1 - np.arccos(0.97) / np.pi) ** bits
     assert 1 - (1 - same) ** tables >= 0.997 and radius > 10
     assert plan_index(10**9, 0.97, 0.997)[1] > bits
+
+
+def test_nearest_recall(spark):
+    """Recall against brute force on clustered vectors; the wrong query's neighbours must score low."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 32))
+    x = centres[rng.integers(0, 12, 1200)] + rng.standard_normal((1200, 32)) * 0.6
+    rows = [(f"{i:04d}", "c", [float(t) for t in v], 1, 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, V)
+    index = VectorIndex(df, spark.createDataFrame([("c", 32)], C))
+    got = index.nearest(df.filter("cast(id AS int) % 100 = 0"), 10).collect()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = other = 0
+    for q in range(0, 1200, 100):
+        s = y @ y[q]
+        s[q] = -2
+        best = {f"{i:04d}" for i in s.argsort()[::-1][:10]}
+        hit += len(best & {r["id"] for r in got if r["query_id"] == f"{q:04d}"})
+        other += len(best & {r["id"] for r in got if r["query_id"] == f"{(q + 100) % 1200:04d}"})
+    assert hit >= 0.9 * 120 > 60 > other
