@@ -41,7 +41,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     feed = load(spark, d, "audit_log")
     rev = F.get_json_object("new_value", "$.rev").try_cast("double")
     delta = reduce_changes(feed, ["table_name", "record_id"], "id", "action", "new_value", [F.col("timestamp"), rev])
-    table = BucketedTable(spark, scratch(spark, "current"), ["table_name", "record_id"])
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as the cluster shuffles into
+    table = BucketedTable(spark, scratch(spark, "current"), ["table_name", "record_id"], buckets)
     table.apply(delta)
     return table.read().select("table_name", "record_id", F.col("entry").alias("id"))
 

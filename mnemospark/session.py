@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Settings for a session that this library opens itself; a given session is never changed.
 DEFAULTS = {
@@ -57,6 +58,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which is counted; else as it is."""
+    return broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Read one Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{table}.parquet")
