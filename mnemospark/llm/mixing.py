@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, word_count
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
 #: Slices of a source's rank order that are counted to find the last document taken; only one of them is sorted.
 SLICES = 4096
@@ -72,7 +72,7 @@ def mix_sources(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     """
     need = F.when(F.col("squares") > 0, F.col("rest") * F.col("size") / F.col("squares")).otherwise(0.0)
     p = plan.select("source", "copies", need.alias("n"), F.col("size").alias("all"))
-    rows = sized.join(F.broadcast(p), "source")  # one row for each target source
+    rows = sized.join(broadcast_if_small(p), "source")  # one row for each target source
     u = (F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
     chance = F.least(F.lit(1.0), F.col("n") * F.col("size") / F.greatest("all", F.lit(1)))
     q = F.when(chance >= 1, -1.0).when(chance <= 0, 1.0).otherwise((u * (1 - chance)) / (u * (1 - chance) + (1 - u) * chance))
@@ -82,7 +82,7 @@ def mix_sources(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.round("n").cast("long"))
     last = counts.filter("upto >= n AND upto - k < n").groupBy("source").agg(F.min("slice").alias("last"), F.min(F.col("n") - (F.col("upto") - F.col("k"))).alias("more"))
-    rows = rows.join(F.broadcast(last), "source", "left")
+    rows = rows.join(broadcast_if_small(last), "source", "left")
     inside = F.row_number().over(Window.partitionBy("source").orderBy("q", "doc_id"))
     edge = rows.filter("slice = last").withColumn("r", inside).withColumn("taken", (F.col("r") <= F.col("more")).cast("long")).drop("r")
     other = rows.filter("last IS NULL OR slice <> last").withColumn("taken", F.when(F.col("n") <= 0, 0).when(F.col("last").isNull(), F.when(F.col("n") >= 0.5, 1).otherwise(0)).otherwise((F.col("slice") < F.col("last")).cast("int")).cast("long"))
