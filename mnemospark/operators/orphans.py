@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import month_of_ms, norm_key
 from ..session import cut
 
-#: A key is heavy from one reference in so many on; so there are never more heavy keys than this.
-HEAVY_KEYS = 2000
+#: The most keys that are taken as heavy, and the fewest references that one has.
+HEAVY_KEYS, HEAVY_FROM = 2000, 1000
 
 
 def references(df: DataFrame, source: str, field: str, record_key, target: str, at) -> DataFrame:
@@ -24,16 +24,16 @@ def references(df: DataFrame, source: str, field: str, record_key, target: str,
     return out.filter(F.col("ref_key") != "")
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, deleted: DataFrame, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
+def find_orphans(refs: DataFrame, targets: DataFrame, deleted: DataFrame, heavy_keys: int = HEAVY_KEYS, heavy_from: int = HEAVY_FROM) -> DataFrame:
     """One row for each orphan reference: (source_table, field_name, record_key, ref_key, period, reason), distinct.
 
     ``targets``: (target, id, created_at), any number of rows for an id, the earliest creation counts; ``deleted``:
     (target, id). Reasons: ``late`` (the target was created after the reference), ``deleted``, ``missing``. A reference
     without a time is never late; its period is ``unknown``. Rows with a null or blank key are no reference.
 
-    References are aggregated per key and period before anything is shuffled; keys are resolved once each. Keys with more
-    than one in ``heavy_keys`` references are so few by construction that they are broadcast; the rest are joined by a
-    shuffle in which no key can be hot.
+    References are aggregated per key and period before anything is shuffled; keys are resolved once each. Of the keys
+    without a timely target, the ``heavy_keys`` with the most references, at least ``heavy_from`` each, are broadcast; the
+    rest are joined by a shuffle in which no key is hot.
     """
     per_key = refs.groupBy("target", "ref_key", month_of_ms(F.col("ref_at")).alias("period")).agg(F.count("*").alias("n"), F.min("ref_at").alias("first_at"))
     per_key = per_key.groupBy("target", "ref_key").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
@@ -44,10 +44,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, deleted: DataFrame, heavy_
         resolved.filter(F.col("there").isNull() | (F.col("made_at") > F.col("first_at")))
         .select("target", "ref_key", "n", "there", "made_at", "gone")
     )
-    total = refs.groupBy().count().first()[0]
-    heavy_from = max(1, total // heavy_keys + 1)
-    heavy = suspect.filter(F.col("n") >= heavy_from)
-    light = suspect.filter(F.col("n") < heavy_from)
+    heavy = suspect.filter(F.col("n") >= heavy_from).orderBy(F.desc("n"), "target", "ref_key").limit(heavy_keys)
+    light = suspect.join(F.broadcast(heavy.select("target", "ref_key")), ["target", "ref_key"], "left_anti")
     on = ["target", "ref_key"]
     found = (
         refs.join(F.broadcast(heavy), on)

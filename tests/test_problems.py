@@ -115,22 +115,22 @@ def test_newest_state_and_empty(spark):
 # ---- references ----
 
 
-def orphan_rows(spark, refs, targets, deleted, heavy_keys=2000):
+def orphan_rows(spark, refs, targets, deleted, heavy_keys=2000, heavy_from=1000):
     r = spark.createDataFrame(refs, "k string, src string, at long, extra string").withColumn("target", F.lit("own")).withColumn("period", F.lit("own"))
     x = references(r, "s", "src", F.col("k"), "T", F.col("at"))
     t = spark.createDataFrame(targets, "target string, id string, created_at long")
     d = spark.createDataFrame(deleted, "target string, id string")
-    return find_orphans(x, t, d, heavy_keys)
+    return find_orphans(x, t, d, heavy_keys, heavy_from)
 
 
 JAN, FEB = 1_736_000_000_000, 1_739_000_000_000
 
 
-@pytest.mark.parametrize("heavy_keys", [2000, 2])
-def test_orphans(spark, heavy_keys):
+@pytest.mark.parametrize(("heavy_keys", "heavy_from"), [(2000, 1000), (2000, 1), (1, 1), (2000, 100)])
+def test_orphans(spark, heavy_keys, heavy_from):
     refs = [("1", "a", JAN, ""), ("2", " A ", JAN, ""), ("3", "b", JAN, ""), ("4", "late", JAN, ""), ("5", "late", FEB, ""), ("6", "gone", None, ""), ("7", "", JAN, ""), ("8", None, JAN, ""), ("3", "b", JAN, ""), (None, "b", JAN, ""), ("9", "　b\t", 10**18, "")]
     refs += [(f"h{i}", "hot", JAN + i, "") for i in range(200)]
-    got = {tuple(r)[2:] for r in orphan_rows(spark, refs, [("T", "a", JAN), ("T", "a", FEB), ("T", "late", JAN + 1), ("T", "late", FEB), ("U", "b", 1)], [("T", "gone"), ("T", "a"), ("U", "b")], heavy_keys).collect()}
+    got = {tuple(r)[2:] for r in orphan_rows(spark, refs, [("T", "a", JAN), ("T", "a", FEB), ("T", "late", JAN + 1), ("T", "late", FEB), ("U", "b", 1)], [("T", "gone"), ("T", "a"), ("U", "b")], heavy_keys, heavy_from).collect()}
     want = {("3", "b", "2025-01", "missing"), (None, "b", "2025-01", "missing"), ("9", "b", "unknown", "missing"), ("4", "late", "2025-01", "late"), ("6", "gone", "unknown", "deleted")}
     assert got == want | {(f"h{i}", "hot", "2025-01", "missing") for i in range(200)}
 
