@@ -197,9 +197,11 @@ class SharedSpans:
         texts = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter((F.col("doc_id").isNotNull()) & (F.length("text") >= least))
         texts = texts.withColumn("key", F.xxhash64("text"))
         self.members = texts.select("key", "doc_id", F.length("text").alias("chars"))
+        # equal texts once, reduced before they are shuffled; what follows keeps this partitioning
+        once = texts.select("key", "text").dropDuplicates(["key"])
         # a window of full length that starts at p holds the stretches from p to p + reach
         reach = least - seed - near + 1
-        seeds = texts.select("key", "text").mapInArrow(_seeds(least, seed, near), "h long, key long, first int, last int, chars int")
+        seeds = once.mapInArrow(_seeds(least, seed, near), "h long, key long, first int, last int, chars int")
         again = seeds.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h", F.lit(True).alias("again"))
         marked = seeds.join(again, "h", "left")
         run = F.when(F.col("again").isNull(), F.struct("first", "last"))
@@ -208,7 +210,7 @@ class SharedSpans:
         runs = F.concat(F.array(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))), "lonely", F.array(F.struct(stop.alias("first"), stop.alias("last"))))
         wide = F.exists(F.sequence(F.lit(1), F.size(runs) - 1), lambda i: F.element_at(runs, i + 1)["first"] - reach > F.element_at(runs, i)["last"] + 1)
         chosen = lonely.filter(F.col("again") & wide).select("key", "lonely")
-        bodies = texts.select("key", "text").join(chosen, "key").dropDuplicates(["key"]).select("key", "text", "lonely")
+        bodies = once.join(chosen, "key").select("key", "text", "lonely")
         held = bodies.mapInArrow(_long_seeds(least, reach, self.size), "h1 long, h2 long, key long, pos int, left string, right string")
         held = cut(held)
         sizes = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h1", "h2", "n")
