@@ -29,7 +29,7 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     """Euclidean length, in double."""
-    return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -41,8 +41,7 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
         n = norm(a) * norm(b)
         out = F.when(n == 0, F.lit(1.0)).otherwise(1 - inner_product(a, b) / F.when(n != 0, n))
     elif metric == "euclidean":
-        d = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-        out = F.sqrt(_sum(F.transform(d, lambda x: x * x)))
+        out = norm(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")))
     elif metric == "dot":
         out = -inner_product(a, b)
     else:
