@@ -22,12 +22,13 @@ def current_nodes(nodes: DataFrame) -> DataFrame:
     return latest_rows(nodes, ["id"], ["updated_at", "created_at"])
 
 
-def walk(edges: DataFrame, starts: Sequence[str], max_depth: int = 1, min_weight: float | None = None, relation: str | None = None, mode: str = "paths") -> DataFrame:
+def walk(edges: DataFrame, starts: Sequence | DataFrame, max_depth: int = 1, min_weight: float | None = None, relation: str | None = None, mode: str = "paths") -> DataFrame:
     """(start, id, depth, weight) of what can be reached from each start along the edges' direction.
 
     ``depth`` is the fewest hops, at least one (0 counts as 1); ``weight`` the greatest weight of the last edge of any
     simple path of at most ``max_depth`` hops. Edges under ``min_weight`` (0.0 unless given) are left out. A start is
-    reached only over an edge to itself. Unknown starts reach nothing.
+    reached only over an edge to itself. Unknown starts reach nothing. ``starts`` are values or a frame (start) of any size,
+    all walked in one plan.
 
     ``paths`` enumerates simple paths and is exact; their number grows with the depth as the out-degree to that power.
     ``bfs`` keeps one row for each node and level: depth is exact, weight may also count an edge into a node that only a
@@ -40,7 +41,10 @@ def walk(edges: DataFrame, starts: Sequence[str], max_depth: int = 1, min_weight
     if relation is not None:
         e = e.filter(F.col("relation") == relation)
     e = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("_w")).filter("_d IS NOT NULL")
-    begin = spark.createDataFrame([(s,) for s in sorted(set(starts))], f"start {edges.schema['src'].dataType.simpleString()}")
+    if isinstance(starts, DataFrame):
+        begin = starts.select("start").filter("start IS NOT NULL").distinct()
+    else:
+        begin = spark.createDataFrame([(s,) for s in sorted(set(starts))], f"start {edges.schema['src'].dataType.simpleString()}")
     level = begin.join(e, F.col("start") == F.col("_s")).select("start", F.col("_d").alias("id"), F.lit(1).alias("depth"), F.col("_w").alias("weight"), F.array("start", "_d").alias("seen"))
     levels = [level]
     for depth in range(2, max(max_depth, 1) + 1):

@@ -169,6 +169,13 @@ def graph_store_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return graph.walk(edges, [r[0] for r in top.collect()], 2).select("start", "id", "depth", _r("weight"))
 
 
+@query
+def graph_walk_all(spark: SparkSession, d: str) -> DataFrame:
+    """What every node reaches in two hops."""
+    nodes, edges = _graph(spark, d)
+    return graph.walk(edges, nodes.select(F.col("id").alias("start")), 2).select("start", "id", "depth", _r("weight"))
+
+
 @query
 def graph_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of a kind."""

@@ -68,6 +68,7 @@ ORACLES |= {
     "graph_negative": _neighbors(1, least=-1.0),
     "graph_bfs_depth": f"WITH RECURSIVE {_G}, {_walk(4)} SELECT id, depth FROM reach",
     "graph_store_neighbors": f"WITH RECURSIVE {_EDGES}, {_walk(2, start='SELECT src AS s FROM g WHERE trim(src) <> chr(32) AND length(trim(src)) > 0 GROUP BY src ORDER BY count(*) DESC, src LIMIT 3')} SELECT start, id, depth, round(weight, 6) AS weight FROM reach",
+    "graph_walk_all": f"WITH RECURSIVE {_G}, {_walk(2, start='SELECT vec_id::VARCHAR AS s FROM embeddings')} SELECT start, id, depth, round(weight, 6) AS weight FROM reach",
     "graph_by_kind": "SELECT id, kind, created_at, updated_at FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, created_at DESC) = 1 AND kind = 'task'",
     "graph_stats": "SELECT (SELECT count(DISTINCT id) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst, relation FROM edges)) AS edges",
     "graph_valid_edges": "SELECT DISTINCT src, dst, relation FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)",
