@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..session import cut
+from .ranking import spread_row_number
 
 STATUSES = ("pending", "running", "completed", "failed", "cancelled")
 
@@ -28,12 +29,14 @@ def _top(df: DataFrame, order: list, limit: int | None, offset: int = 0) -> Data
 def last_messages(messages: DataFrame, n: int | None = None, conversation_id: str | None = None) -> DataFrame:
     """The last n messages of each conversation, or of one, with ``position`` from the first of those kept.
 
-    Per conversation the n newest are picked by a group limit before they are numbered; without n all are kept.
+    Per conversation the n newest are picked by a group limit, which cuts before the shuffle, and then numbered. Without n
+    all are kept and numbered over range partitions, so that no conversation is sorted in one task.
     """
     rows = messages if conversation_id is None else messages.filter(F.col("conversation_id") == conversation_id)
-    if n is not None:
-        w = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
-        rows = rows.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= n).drop("_back")
+    if n is None:
+        return spread_row_number(rows, ["conversation_id"], [F.col("created_at"), F.col("id")], "position")
+    w = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
+    rows = rows.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= n).drop("_back")
     w = Window.partitionBy("conversation_id").orderBy("created_at", "id")
     return rows.withColumn("position", F.row_number().over(w))
 
@@ -60,8 +63,9 @@ def transcript(messages: DataFrame) -> DataFrame:
 
 
 def message_at(messages: DataFrame, index: int) -> DataFrame:
-    """The message at a place, from 0, of each conversation."""
-    return last_messages(messages).filter(F.col("position") == index + 1)
+    """The message at a place, from 0, of each conversation; later ones are cut before the shuffle."""
+    w = Window.partitionBy("conversation_id").orderBy("created_at", "id")
+    return messages.withColumn("position", F.row_number().over(w)).filter(F.col("position") == index + 1)
 
 
 # ---- workflows ----
@@ -84,9 +88,8 @@ def get_workflow(workflows: DataFrame, steps: DataFrame, workflow_id: str) -> Da
 
 
 def number_steps(steps: DataFrame, order: list[str]) -> DataFrame:
-    """``step_index`` from 0 in each workflow by the given order."""
-    w = Window.partitionBy("workflow_id").orderBy(*order)
-    return steps.withColumn("step_index", (F.row_number().over(w) - 1).cast("long"))
+    """``step_index`` from 0 in each workflow by the given order, which should be total."""
+    return spread_row_number(steps, ["workflow_id"], [F.col(c) for c in order], "_place").withColumn("step_index", F.col("_place") - 1).drop("_place")
 
 
 def fold_step_updates(events: DataFrame, strict: bool = False) -> DataFrame:
@@ -163,13 +166,24 @@ def audit_recent(audit: DataFrame, limit: int = 100) -> DataFrame:
 def build_window(entries: DataFrame, max_tokens: int, session_id: str | None = None) -> DataFrame:
     """(session_id, id, token_count, used): entries taken greedily by priority, then relevance, both descending.
 
-    An entry that doesn't fit is skipped and packing goes on. Each session is one ordered fold over entries of which at
-    most those that fit alone are kept; zero and negative counts always fit. Null counts count 0.
+    An entry that doesn't fit is skipped and packing goes on. Zero and negative counts always fit, null counts 0.
+
+    Each session is one ordered fold, over what can be taken at all: as what is used never falls, of one size only the
+    first ``max_tokens / size`` entries can, so about ``max_tokens * ln(max_tokens)`` of any session are folded, picked by
+    a group limit before the shuffle. Sessions with zero or negative counts keep those, and with negative ones all entries.
     """
     rows = entries if session_id is None else entries.filter(F.col("session_id") == session_id)
     count = F.coalesce("token_count", F.lit(0)).cast("long")
-    item = F.struct((-F.col("priority")).alias("p"), (-F.col("relevance_score")).alias("r"), "id", count.alias("t"))
-    lists = rows.filter(count <= max_tokens).groupBy("session_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rows = rows.select("session_id", "id", count.alias("t"), (-F.col("priority")).alias("p"), (-F.col("relevance_score")).alias("r"))
+    falls = rows.filter("t < 0").select(F.col("session_id").alias("_s")).distinct()
+    rows = rows.filter(F.col("t") <= max_tokens)
+    same = F.col("session_id").eqNullSafe(F.col("_s"))
+    steady, other = rows.join(falls, same, "left_anti"), rows.join(falls, same, "left_semi")
+    w = Window.partitionBy("session_id", "t").orderBy("p", "r", "id")
+    most = max(max_tokens, 1)
+    first = steady.filter("t > 0").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).filter(F.col("_n") * F.col("t") <= max_tokens).drop("_n")
+    rows = first.unionByName(steady.filter("t <= 0")).unionByName(other)
+    lists = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("p", "r", "id", "t"))).alias("items"))
     kind = "struct<used:bigint,taken:array<struct<id:string,t:bigint,used:bigint>>>"
     begin = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:string,t:bigint,used:bigint>>").alias("taken")).cast(kind)
     step = lambda s, x: F.when(

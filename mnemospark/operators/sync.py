@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from .ranking import spread_best_before
 
 MASK = 0xFFFF
 
@@ -100,18 +101,17 @@ def merge_counts(local: DataFrame, remote: DataFrame, strategy: str = "lww") ->
     """One row (applied, conflicts, skipped) of taking the remote operations in order of ``seq`` (else hlc_ts, op_id).
 
     The first operation of an unknown record is applied. Every other one is a conflict with the winner so far: it is
-    applied if it beats it strictly, else skipped. What an operation meets is the best time before it in its record, so
-    one ordered window does.
+    applied if it beats it strictly, else skipped. What an operation meets is the best time before it in its record, which
+    is found over range partitions, so a hot record isn't one task.
     """
-    from pyspark.sql import Window
-
     last = _best(strategy)
     best = F.max if last else F.min
     known = local.groupBy("table_name", "record_id").agg(best("hlc_ts").alias("_known"))
     order = ["seq"] if "seq" in remote.columns else ["hlc_ts", "op_id"]
-    w = Window.partitionBy("table_name", "record_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = remote.join(known, ["table_name", "record_id"], "left").withColumn("_before", best("hlc_ts").over(w))
-    met = F.greatest("_known", "_before") if last else F.least("_known", "_before")
+    narrow = remote.select("table_name", "record_id", "hlc_ts", *[c for c in order if c != "hlc_ts"])
+    rows = spread_best_before(narrow, ["table_name", "record_id"], [F.col(c) for c in order], "hlc_ts", "_before_it", least=not last)
+    rows = rows.join(known, ["table_name", "record_id"], "left")
+    met = F.greatest("_known", "_before_it") if last else F.least("_known", "_before_it")
     wins = (F.col("hlc_ts") > met) if last else (F.col("hlc_ts") < met)
     rows = rows.select(met.isNotNull().alias("c"), F.coalesce(met.isNull() | wins, F.lit(False)).alias("a"))
     n = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance
 from ..functions.text import ms_of
 from ..operators import fulltext, graph, hybrid, memory, sync, vector
 from ..operators.filters import compile_filter, metadata_variant
-from ..operators.ranking import latest_rows
+from ..operators.ranking import latest_rows, spread_row_number
 from ..session import load
 from ..streaming.feed import sessions, tumbling
 from .sql import table_counts
@@ -372,8 +372,7 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 def context_entries_order(spark: SparkSession, d: str) -> DataFrame:
     """Place of every entry in its session's packing order."""
     c = latest_rows(load(spark, d, "context_entries").select("id", "included_at", "session_id", "relevance_score", "priority"), ["id"], ["included_at"])
-    w = Window.partitionBy("session_id").orderBy(F.desc("priority"), F.desc("relevance_score"), "id")
-    return c.select("session_id", "id", F.row_number().over(w).alias("place"))
+    return spread_row_number(c, ["session_id"], [F.desc("priority"), F.desc("relevance_score"), F.col("id")], "place").select("session_id", "id", "place")
 
 
 @query

@@ -154,7 +154,7 @@ ORACLES |= {
     "context_window": f"""WITH RECURSIVE {_C}, r AS (SELECT session_id, id, coalesce(token_count, 0) AS t, row_number() OVER (PARTITION BY session_id ORDER BY priority DESC, relevance_score DESC, id) AS n FROM c WHERE coalesce(token_count, 0) <= 4096),
  f(session_id, n, id, t, used, taken) AS (SELECT session_id, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, false FROM (SELECT DISTINCT session_id FROM r) UNION ALL SELECT f.session_id, r.n, r.id, r.t, CASE WHEN f.used + r.t <= 4096 THEN f.used + r.t ELSE f.used END, f.used + r.t <= 4096 FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n + 1)
  SELECT session_id, id, t AS token_count, used FROM f WHERE taken""",
-    "context_entries_order": f"WITH {_C} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY priority DESC, relevance_score DESC, id)::INTEGER AS place FROM c",
+    "context_entries_order": f"WITH {_C} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY priority DESC, relevance_score DESC, id) AS place FROM c",
     "prompt_latest": "SELECT p_brand AS name, max(p_size * 1000000 + p_partkey) AS version, arg_max('Buy {{what}} of ' || p_name, p_size * 1000000 + p_partkey) AS template FROM part GROUP BY p_brand",
     "prompt_render": "SELECT p_partkey, 'Hi Ann, {{id}} is ' || p_name AS text FROM part",
     "labels_find": "SELECT doc_id::VARCHAR AS record_id, lower(trim(lang)) AS label, (epoch_us(ingested_at) // 1000) AS tagged_at FROM documents WHERE lower(trim(lang)) = 'de' ORDER BY (epoch_us(ingested_at) // 1000) DESC, doc_id::VARCHAR LIMIT 100",
