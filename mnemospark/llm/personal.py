@@ -33,10 +33,26 @@ def holds(kind: str, value: str) -> bool:
     return sum(c.isalpha() for c in value) >= 2
 
 
+#: Characters that are scored at once; a longer text is taken alone, but whole.
+AT_ONCE = 2_000_000
+
+
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    portion, size = [], 0
+    for t in texts:
+        if portion and size + len(t) > AT_ONCE:
+            yield portion
+            portion, size = [], 0
+        portion.append(t)
+        size += len(t)
+    if portion:
+        yield portion
+
+
 def find_in(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of what each text holds, without white space at the ends."""
     out = []
-    for text, labels in zip(texts, tagger.tag(texts)):
+    for text, labels in ((t, y) for p in _portions(texts) for t, y in zip(p, tagger.tag(p))):
         found = []
         if labels.any():
             for a, b, k in spans(labels):
@@ -58,7 +74,9 @@ def _find(model: bytes | None, path: str, redact: bool):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             some = [i for i, t in enumerate(texts) if t]
-            found = dict(zip(some, find_in(tagger, [texts[i] for i in some])))
+            different = list(dict.fromkeys(texts[i] for i in some))
+            of = dict(zip(different, find_in(tagger, different)))
+            found = {i: of[texts[i]] for i in some}
             rows = some if not redact else range(len(texts))
             if redact:
                 new = []

@@ -19,6 +19,9 @@ VOCAB = len(_CLASSES) + len(_OWN)
 #: Characters of a window, and how many of them it shares with the next.
 WINDOW, OVERLAP = 288, 96
 
+#: Windows that are scored together.
+BATCH = 768
+
 
 def _table() -> np.ndarray:
     out = np.zeros(0x10000 + 1, np.uint8)
@@ -54,10 +57,13 @@ class Tagger:
         half = np.concatenate([np.full(3 * self.h, 0.5), np.ones(self.h)]).astype(np.float32)
         self.fast = {n: np.ascontiguousarray(self.p[n] * half * (0.5 if n[0] == "r" else 1)) for n in ("xf", "xb", "rf", "rb")}
         self.fast |= {n: self.p[n] * np.float32(0.5) for n in ("of", "ob")}
-        gain = max(0.0, float(self.p["trans"].max() - self.p["trans"][0, 0]))
-        edge = max(0.0, float(self.p["start"].max() - self.p["start"][0])) + max(0.0, float(self.p["end"].max() - self.p["end"][0]))
-        #: If O leads by this much everywhere, no other path can win, whatever the transitions.
-        self.margin = 2 * gain + edge
+        # over O, a run of other labels gains a way in, a way out and its inner steps, and loses O's lead at each place; at
+        # the ends of a text the way in or out is a start or an end
+        t = self.p["trans"].astype(float) - float(self.p["trans"][0, 0])
+        way_in = max(t[0, 1:].max(), float(self.p["start"][1:].max() - self.p["start"][0]))
+        way_out = max(t[1:, 0].max(), float(self.p["end"][1:].max() - self.p["end"][0]))
+        self.inner = float(t[1:, 1:].max())
+        self.ways = float(way_in + way_out - self.inner)
 
     @classmethod
     def fresh(cls, h: int, seed: int = 0) -> "Tagger":
@@ -116,12 +122,12 @@ class Tagger:
         """(length, K) scores for each window of character ids."""
         order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
         result: list[np.ndarray] = [np.zeros((0, K), np.float32)] * len(windows)
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
-            lengths = np.array([len(windows[i]) for i in rows])
-            top = int(lengths[0]) if len(lengths) else 0
-            if not top:
+        for at in range(0, len(order), BATCH):
+            rows = [i for i in order[at : at + BATCH] if len(windows[i])]
+            if not rows:
                 continue
+            lengths = np.array([len(windows[i]) for i in rows])
+            top = int(lengths[0])
             fwd, bwd = np.zeros((len(rows), top), np.intp), np.zeros((len(rows), top), np.intp)
             for r, i in enumerate(rows):
                 w = windows[i]
@@ -131,9 +137,10 @@ class Tagger:
             ef, eb = np.empty((top, len(rows), K), np.float32), np.empty((top, len(rows), K), np.float32)
             self._run(np.ascontiguousarray(fwd.T), active, "f", ef)
             self._run(np.ascontiguousarray(bwd.T), active, "b", eb)
+            bias = self.p["bias"]
             for r, i in enumerate(rows):
                 n = lengths[r]
-                result[i] = ef[:n, r] + eb[:n, r][::-1] + self.p["bias"]
+                result[i] = ef[:n, r] + (eb[:n, r][::-1] + bias)
         return result
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
@@ -147,8 +154,14 @@ class Tagger:
         for k in range(2, K):
             rival = np.maximum(rival, flat[k])
         begin = np.concatenate([[0], np.cumsum([len(scores[i]) for i in some])[:-1]])
-        least = np.minimum.reduceat(flat[0] - rival, begin)
-        hard = [some[j] for j in np.flatnonzero(least <= self.margin).tolist()]
+        # the best run of each text is a largest sum of successive places; a fall at each text's begin parts the texts
+        gain = (self.inner - (flat[0] - rival)).astype(np.float64)
+        falls = np.zeros(len(gain))
+        falls[begin] = -1e7
+        upto = np.cumsum(gain + falls)
+        floor = np.minimum.accumulate(np.concatenate([[0.0], upto[:-1]]) + falls)
+        best_run = np.maximum.reduceat(upto - floor, begin)
+        hard = [some[j] for j in np.flatnonzero(best_run + self.ways > -1e-3).tolist()]
         hard.sort(key=lambda i: -len(scores[i]))
         trans = np.ascontiguousarray(self.p["trans"])  # from, to
         for at in range(0, len(hard), 256):
