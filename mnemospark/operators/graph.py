@@ -44,7 +44,10 @@ def walk(edges: DataFrame, starts: Sequence | DataFrame, max_depth: int = 1, min
     if isinstance(starts, DataFrame):
         begin = starts.select("start").filter("start IS NOT NULL").distinct()
     else:
-        begin = spark.createDataFrame([(s,) for s in sorted(set(starts))], f"start {edges.schema['src'].dataType.simpleString()}")
+        # a literal, not a frame made from Python rows, so that no Python worker starts
+        kind = edges.schema["src"].dataType
+        values = F.array(*[F.lit(s).cast(kind) for s in sorted(set(starts))]).cast(f"array<{kind.simpleString()}>")
+        begin = spark.range(0, 1, 1, 1).select(F.explode(values).alias("start"))
     level = begin.join(e, F.col("start") == F.col("_s")).select("start", F.col("_d").alias("id"), F.lit(1).alias("depth"), F.col("_w").alias("weight"), F.array("start", "_d").alias("seen"))
     levels = [level]
     for depth in range(2, max(max_depth, 1) + 1):

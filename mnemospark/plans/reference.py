@@ -134,7 +134,7 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     for k, (name, a, b) in enumerate((("next", 1, 1), ("cites", 7, 3), ("similar", 13, 5))):
         one = v.select(F.col("vec_id").cast("string").alias("src"), ((a * F.col("vec_id") + b) % F.col("n")).cast("string").alias("dst"), F.lit(name).alias("relation"), (((31 * F.col("vec_id") + 17 * k) % 100) / 100.0).alias("weight"))
         edges = one if edges is None else edges.unionByName(one)
-    extra = spark.createDataFrame([("0", "0", "self", 0.5), ("0", "9", "bad", -0.5)], "src string, dst string, relation string, weight double")
+    extra = spark.sql("SELECT * FROM VALUES ('0', '0', 'self', 0.5D), ('0', '9', 'bad', -0.5D) AS t(src, dst, relation, weight)")
     nodes = e.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("kind"), F.lit(None).cast("string").alias("data"))
     return nodes, edges.unionByName(extra)
 
