@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from ..session import cut
 
 #: Vectors of one length that the rotations are learned from, at most; every vector is indexed.
 FIT_ROWS = 4096
+#: Query vectors that a task holds at once where they are compared with all; and rows that it compares at once.
+BLOCK, CHUNK = 4096, 1024
 
 
 def learn_rotations(x: np.ndarray, bits: int, seed: int = 7, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +56,60 @@ def plan_index(largest: int, cosine: float, recall: float) -> tuple[int, int, in
     return tables, bits, radius
 
 
+def sure_cosine(tables: int, bits: int, probe: int, recall: float) -> float:
+    """The least cosine at which two vectors agree up to ``probe`` bits in some substring with chance ``recall``."""
+    low, high = 0.0, 0.5  # share of bits that differ
+    for _ in range(50):
+        flip = (low + high) / 2
+        near = sum(math.comb(bits, r) * flip**r * (1 - flip) ** (bits - r) for r in range(min(probe, bits) + 1))
+        low, high = (flip, high) if 1 - (1 - near) ** tables >= recall else (low, flip)
+    return math.cos(math.pi * low)
+
+
+def _unit(vectors) -> np.ndarray:
+    x = np.array(vectors, np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _scan(asked: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
+    """The k best rows of a task for each query of ``asked``, {collection: (vids, unit vectors)}; scores to 9 digits, ties by id."""
+    schema = pa.schema([("q", pa.int64()), ("vid", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple] = {}
+        for b in batches:
+            names = np.array(b.column("collection_id").to_pylist(), object)
+            vids, ids = b.column("vid").to_numpy(), np.array(b.column("id").to_pylist(), object)
+            vec = b.column("vector")
+            flat, starts = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
+            for name in set(names.tolist()) & asked.keys():
+                qv, qx = asked[name]
+                mine = np.flatnonzero(names == name)
+                for at in range(0, len(mine), CHUNK):
+                    rows = mine[at : at + CHUNK]
+                    x = _unit(flat[starts[rows][:, None] + np.arange(qx.shape[1])])
+                    score = np.round(qx @ x.T, 9)
+                    score[qv[:, None] == vids[rows]] = -np.inf
+                    had = best.get(name) or (np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object), np.full(len(qv), -2.0))
+                    least = had[4]
+                    if len(rows) >= k:
+                        least = np.maximum(least, np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k])
+                    i, j = np.nonzero(score >= least[:, None])
+                    q, s, v, n = (np.concatenate(c) for c in zip(had[:4], (i, score[i, j], vids[rows][j], ids[rows][j])))
+                    order = np.lexsort((n, -s, q))
+                    q, s, v, n = q[order], s[order], v[order], n[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    least = least.copy()
+                    least[q[rank == k - 1]] = np.maximum(least[q[rank == k - 1]], s[rank == k - 1])
+                    keep = rank < k
+                    best[name] = q[keep], s[keep], v[keep], n[keep], least
+        for name, (q, s, v, n, _) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[name][0][q]), pa.array(v, pa.int64()), pa.array(n, pa.string()), pa.array(s)], schema=schema)
+
+    return run
+
+
 def _encoder(models: dict, tables: int, bits: int):
     schema = pa.schema([("collection_id", pa.string()), ("id", pa.string()), ("updated_at", pa.int64()), ("created_at", pa.int64()), ("mark", pa.int64()), ("usable", pa.bool_()), ("c0", pa.int64()), ("c1", pa.int64()), ("subs", pa.list_(pa.int32()))])
 
@@ -102,7 +158,7 @@ class VectorIndex:
     """
 
     def __init__(self, vectors: DataFrame, collections: DataFrame, cosine: float = 0.97, recall: float = 0.997, fit_rows: int = FIT_ROWS):
-        self.cosine = cosine
+        self.cosine, self.recall = cosine, recall
         dims = collections.filter("id IS NOT NULL").groupBy(F.col("id").alias("collection_id")).agg(F.max("dim").cast("long").alias("dim"))
         self.raw = vectors.filter("id IS NOT NULL").select("id", "collection_id", F.col("vector").cast("array<float>").alias("vector"), F.col("updated_at").cast("long").alias("updated_at"), F.col("created_at").cast("long").alias("created_at")).join(dims, "collection_id")
         lengths = [r[0] for r in dims.select("dim").distinct().orderBy("dim").collect() if r[0] and r[0] > 0]
@@ -142,24 +198,52 @@ class VectorIndex:
 
         ``queries`` has (collection_id, id) of indexed vectors; a vector isn't its own neighbour, ties go by id. Every
         bucket within ``probe`` bits of a query's substrings is looked into, so each code within
-        ``tables * (probe + 1) - 1`` bits is a candidate (pigeonhole), and all candidates are reranked on floats. Where
-        fewer than k are met, fewer come out.
+        ``tables * (probe + 1) - 1`` bits is a candidate (pigeonhole), and all candidates are reranked on floats. That
+        settles a query whose k-th cosine is so high that vectors as similar are met with the chance ``recall``. All
+        other queries, and those that meet fewer than k, are compared with every vector of their collection.
         """
         masks = [sum(1 << b for b in bits) for r in range(probe + 1) for bits in combinations(range(self.bits), r)]
-        asked = self.codes.join(queries.select("collection_id", "id").distinct(), ["collection_id", "id"], "left_semi")
+        asked = cut(self.codes.join(queries.select("collection_id", "id").distinct(), ["collection_id", "id"], "left_semi"))
         flips = F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")
         probes = asked.select(F.col("vid").alias("q"), "collection_id", F.posexplode("subs").alias("t", "s")).select("q", "collection_id", "t", "s", flips)
         probes = probes.select("q", F.xxhash64("collection_id", "t", F.col("s").bitwiseXOR(F.col("m"))).alias("k"))
         rows = self.codes.select(F.posexplode("subs").alias("t", "s"), "collection_id", "vid").select(F.xxhash64("collection_id", "t", "s").alias("k"), "vid")
-        met = cut(probes.join(rows, "k").filter("q <> vid").select("q", "vid").distinct())
-        need = met.select("vid").unionByName(met.select(F.col("q").alias("vid"))).distinct()
-        floats = self._floats(need)
+        probed = cut(self._best(cut(probes.join(rows, "k").filter("q <> vid").select("q", "vid").distinct()), k))
+        sure = sure_cosine(self.tables, self.bits, probe, self.recall)
+        settled = probed.groupBy("q").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).filter((F.col("n") >= k) & (F.col("least") >= sure))
+        open_ = asked.select("vid", "collection_id").join(settled.select(F.col("q").alias("vid")), "vid", "left_anti")
+        best = probed.join(settled.select("q"), "q", "left_semi").unionByName(self._best(self._compared(open_, k), k))
+        names = self.codes.select(F.col("vid").alias("q"), F.col("id").alias("query_id"))
+        return best.join(names, "q").select("collection_id", "query_id", "id", "cosine", "rank")
+
+    def _best(self, met: DataFrame, k: int) -> DataFrame:
+        """(q, vid, collection_id, id, cosine, rank) of the k best by float cosine among the pairs (q, vid) of ``met``."""
+        floats = self._floats(met.select("vid").unionByName(met.select(F.col("q").alias("vid"))).distinct())
         scored = met.join(floats.select(F.col("vid").alias("q"), F.col("vector").alias("va")), "q").join(floats.select("vid", F.col("vector").alias("vb")), "vid")
-        names = self.codes.select("vid", "collection_id", "id")
-        scored = scored.select("q", "vid", _cosine("va", "vb").alias("cosine")).join(names, "vid")
+        scored = scored.select("q", "vid", _cosine("va", "vb").alias("cosine")).join(self.codes.select("vid", "collection_id", "id"), "vid")
         w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
-        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        return best.join(names.select(F.col("vid").alias("q"), F.col("id").alias("query_id")), "q").select("collection_id", "query_id", "id", "cosine", "rank")
+        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "vid", "collection_id", "id", "cosine", "rank")
+
+    def _compared(self, asked: DataFrame, k: int) -> DataFrame:
+        """(q, vid) of the k most similar to each of ``asked`` (vid, collection_id), out of all vectors of its collection.
+
+        The queries go to the tasks in blocks; a task keeps k rows for each, which a window merges.
+        """
+        inside = self.codes.join(asked.select("collection_id").distinct(), "collection_id", "left_semi").select("vid", "collection_id", "id")
+        base = cut(inside.join(self._floats(inside.select("vid")), "vid"))
+        wanted = base.join(asked.select("vid"), "vid", "left_semi").select("collection_id", "vid", "vector").orderBy("collection_id", "vid").toLocalIterator()
+        out = None
+        while block := list(islice(wanted, BLOCK)):
+            by = {}
+            for r in block:
+                by.setdefault(r["collection_id"], []).append(r)
+            by = {c: (np.array([r["vid"] for r in rs], np.int64), _unit([r["vector"] for r in rs])) for c, rs in by.items()}
+            one = cut(base.filter(F.col("collection_id").isin(list(by))).mapInArrow(_scan(by, k), "q long, vid long, id string, score double"))
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            return asked.select(F.col("vid").alias("q"), "vid").limit(0)
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        return cut(out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("q", "vid"))
 
     def _floats(self, need: DataFrame) -> DataFrame:
         """(vid, vector) of the vectors needed, each in its newest state."""

@@ -102,3 +102,23 @@ def test_nearest_recall(spark):
         hit += len(best & {r["id"] for r in got if r["query_id"] == f"{q:04d}"})
         other += len(best & {r["id"] for r in got if r["query_id"] == f"{(q + 100) % 1200:04d}"})
     assert hit >= 0.9 * 120 > 60 > other
+
+
+def test_nearest_of_unclustered_vectors_and_small_collections(spark):
+    """Neighbours far below the planned cosine, equal scores, and a collection much smaller than the largest."""
+    rng = np.random.default_rng(11)
+    x, small = rng.standard_normal((4000, 64)), rng.standard_normal((25, 64))
+    x[1] = x[2] = x[3]
+    rows = [(f"{i:04d}", "large", [float(t) for t in v], 1, 1) for i, v in enumerate(x)] + [(f"{i:04d}", "small", [float(t) for t in v], 1, 1) for i, v in enumerate(small)]
+    df = spark.createDataFrame(rows, V)
+    index = VectorIndex(df, spark.createDataFrame([("large", 64), ("small", 64)], C))
+    got = {}
+    for r in index.nearest(df.filter("cast(id AS int) % 80 = 0 OR id = '0001' OR collection_id = 'small'"), 10).collect():
+        got.setdefault((r["collection_id"], r["query_id"]), {})[r["rank"]] = r["id"]
+    for name, m in (("large", x), ("small", small)):
+        y = np.float32(m).astype(float)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        for q in [i for i in range(len(m)) if i % 80 == 0 or i == 1 or name == "small"]:
+            s = np.round(y @ y[q], 12)
+            order = [i for i in np.lexsort((np.arange(len(m)), -s)) if i != q][:10]
+            assert got[name, f"{q:04d}"] == {n + 1: f"{i:04d}" for n, i in enumerate(order)}
