@@ -8,6 +8,8 @@ bound, windows with gaps and some others exchange their entries and are packed a
 
 from __future__ import annotations
 
+import math
+import random
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 from ..operators.ranking import spread_row_number
 
 CAPACITY = 4096
-#: Steps of the exact search for one pool of windows; a session for which they don't suffice comes out uncertified.
+#: Steps of the exact search for each pool of windows; a session for which no pool's suffice comes out uncertified.
 STEPS = 400_000
+#: Random pools that are tried one after another where no growing pool helps, and the steps of each.
+POOLS, POOL_STEPS = 400, 3_000
+#: Windows taken into a random pool beside the entries not placed.
+POOL_WINDOWS = (4, 8, 12, 16, 24, 32, 48)
 
 Bins = Counter  # of tuples ((size, count), ...), largest size first
 
@@ -93,11 +99,12 @@ def _weight(pattern: tuple) -> int:
     return sum(s * c for s, c in pattern)
 
 
-def exact_fill(sizes: Counter, capacity: int, waste: int, steps: list[int]) -> list[tuple] | None:
+def exact_fill(sizes: Counter, capacity: int, waste: int, steps: list[int], deepest: list | None = None) -> list[tuple] | None:
     """Windows for all entries with at most ``waste`` tokens left over together, by depth-first search; None if there are none.
 
     The largest entry left opens the next window; fillings of its room are tried from the fullest and largest on, along
     sums that can be reached at all. States known to fail are not tried again. ``steps`` counts down; None at zero, too.
+    ``deepest`` takes the most windows that were filled at a time.
     """
     failed: set = set()
 
@@ -166,6 +173,8 @@ def exact_fill(sizes: Counter, capacity: int, waste: int, steps: list[int]) -> l
         after.subtract(dict(window))
         after = +after
         stack[-1] = (left, spare, tries, window)
+        if deepest is not None and len(stack) > len(deepest):
+            deepest[:] = [f[3] for f in stack]
         if not after:
             return [f[3] for f in stack]
         if (tuple(sorted(after.items())), spare - free) not in failed:
@@ -173,32 +182,82 @@ def exact_fill(sizes: Counter, capacity: int, waste: int, steps: list[int]) -> l
     return None
 
 
+def _items(windows: Bins) -> Counter:
+    items: Counter = Counter()
+    for p, k in windows.items():
+        for s, c in p:
+            items[s] += c * k
+    return items
+
+
+def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL_STEPS) -> Bins | None:
+    """The entries of ``bins`` in one window less, by many small searches; None if none of ``pools`` gets there.
+
+    The room left over becomes entries of one token, so all windows must be full. The entries of windows that aren't are
+    pooled with some full windows drawn at random; if a search fills at least as many as were drawn, these are kept and
+    what it leaves goes into the next pool.
+    """
+    full = Counter({p: k for p, k in bins.items() if _weight(p) == capacity})
+    left = _items(bins - full)
+    units = (sum(bins.values()) - 1) * capacity - sum(_weight(p) * k for p, k in bins.items())
+    if units < 0:
+        return None
+    left[1] += units
+    left, draw = +left, random.Random(7)
+    for _ in range(pools):
+        if not left:
+            break
+        m = min(sum(full.values()), draw.choice(POOL_WINDOWS))
+        names = sorted(full)
+        drawn = Counter(draw.sample(names, m, counts=[full[p] for p in names]) if m else ())
+        pool, found = left + _items(drawn), []
+        exact_fill(pool, capacity, 0, [pool_steps], found)
+        if len(found) >= m:
+            full, left = full - drawn + Counter(found), pool - _items(Counter(found))
+    if left:
+        return None
+    out: Bins = Counter()
+    for p, k in full.items():
+        ones = dict(p).get(1, 0)
+        for _ in range(k):
+            if not ones or not units:
+                out[p] += k if not ones else 1
+                if not ones:
+                    break
+                continue
+            take = min(ones, units)
+            units -= take
+            rest = tuple((s, c if s > 1 else c - take) for s, c in p if s > 1 or c > take)
+            if rest:
+                out[rest] += 1
+    return out
+
+
 def pack(sizes: dict[int, int], capacity: int = CAPACITY, max_steps: int = STEPS) -> tuple[Bins, int, bool]:
     """(windows, lower bound, certified) for entries of 1 to ``capacity`` tokens.
 
     Certified means that no packing has fewer windows: the count meets the bound, or the search over all entries ended.
-    Pools for repacking start at the windows with gaps and double with full ones until they hold everything.
+    Pools for repacking start at the windows with gaps and double with full ones until they hold everything, each with
+    steps of its own; after them come random pools. Where all sizes have a common divisor, only its multiples of a
+    window can be filled.
     """
-    bound = lower_bound(sizes, capacity)
+    bound = lower_bound(sizes, capacity - capacity % math.gcd(*sizes)) if sizes else 0
     bins = best_fit_decreasing(sizes, capacity)
     count = sum(bins.values())
-    steps = [max_steps]
-    while count > bound and steps[0] > 0:
+    while count > bound:
         order = sorted(bins, key=_weight)
         gaps = [p for p in order if _weight(p) < capacity]
         pool, size = Counter(), max(2, 2 * sum(bins[p] for p in gaps))
         improved = exhausted = False
-        while not improved and not exhausted and steps[0] > 0:
+        while not improved and not exhausted:
+            steps = [max_steps]
             pool = Counter()
             for p in order:
                 take = min(bins[p], size - sum(pool.values()))
                 if take <= 0:
                     break
                 pool[p] = take
-            n, items = sum(pool.values()), Counter()
-            for p, k in pool.items():
-                for s, c in p:
-                    items[s] += c * k
+            n, items = sum(pool.values()), _items(pool)
             exhausted = n == count
             waste = (n - 1) * capacity - sum(s * c for s, c in items.items())
             if waste >= 0 and lower_bound(items, capacity) < n:
@@ -211,7 +270,12 @@ def pack(sizes: dict[int, int], capacity: int = CAPACITY, max_steps: int = STEPS
                     improved = True
             size *= 2
         if not improved:
-            return bins, bound, exhausted and steps[0] > 0
+            if steps[0] > 0:
+                return bins, bound, True
+            better = refill(bins, capacity)
+            if better is None:
+                return bins, bound, False
+            bins = better
         count = sum(bins.values())
     return bins, bound, count == bound
 

@@ -11,7 +11,7 @@ from ..session import load
 from .conversations import judge_conversations, rebuild_conversations
 from .leakage import find_leaks
 from .mixing import allocate, mix_report, mix_sources, sized_documents
-from .packing import pack_sessions, place_entries
+from .packing import CAPACITY, pack_sessions, place_entries
 from .personal import personal_spans, replace_personal
 from .similar import VectorIndex
 from .spans import SharedSpans
@@ -70,6 +70,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.filter("oversize = 0 AND windows > 0 AND free = 0 AND session_id IS NOT NULL").select("session_id")
 
 
+def p5_open(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of sessions: all, those whose total is a multiple of a window, those uncertified, and those of both kinds."""
+    packed = pack_sessions(load(spark, d, "context_entries"))
+    multiple, unsure = F.col("tokens") % CAPACITY == 0, ~F.col("certified")
+    return packed.agg(F.count("*").alias("sessions"), F.count_if(multiple).alias("multiples"), F.count_if(unsure).alias("uncertified"), F.count_if(multiple & unsure).alias("uncertified_multiples"))
+
+
 def p5_windows(spark: SparkSession, d: str) -> DataFrame:
     """The window of every entry."""
     return place_entries(load(spark, d, "context_entries"))
@@ -105,5 +112,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p5_found, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p5_found, p5_open, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
 }

@@ -5,7 +5,7 @@ from functools import lru_cache
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mnemospark.llm.packing import best_fit_decreasing, lower_bound, pack, pack_sessions, place_entries
+from mnemospark.llm.packing import best_fit_decreasing, lower_bound, pack, pack_sessions, place_entries, refill
 
 S = "id string, session_id string, source_type string, source_id string, content_preview string, token_count long, relevance_score double, priority long, included_at long"
 
@@ -101,3 +101,31 @@ def test_places(spark):
     windows = {r["session_id"]: r["windows"] for r in pack_sessions(frame(spark, rows)).collect()}
     for s, n in windows.items():
         assert max(w for x, w in load if x == s) == n - sum(1 for r in rows if r[1] == s and r[2] == 5000)
+
+
+def test_planted_long_sessions():
+    """Sessions of many windows, all full; a pool that can't be packed better takes no steps from the others."""
+    for n, each, seed in ((60, 5, 0), (240, 3, 0), (240, 3, 1)):
+        rng, items = random.Random(seed * 1000 + n), []
+        for _ in range(n):
+            cuts = sorted(rng.sample(range(1, 4096), each - 1))
+            items += [b - a for a, b in zip([0, *cuts], [*cuts, 4096])]
+        bins, bound, certified = pack(dict(Counter(items)))
+        check(bins, items, 4096)
+        assert certified and sum(bins.values()) == bound == n
+
+
+def test_common_divisor_is_certified():
+    rng = random.Random(2)
+    items = [3 * rng.randint(20, 600) for _ in range(400)]
+    items += [3] * (-sum(items) // 3 % 4096)
+    bins, bound, certified = pack(dict(Counter(items)))
+    check(bins, items, 4096)
+    assert sum(items) % 4096 == 0 and certified and sum(bins.values()) == bound > sum(items) // 4096
+
+
+def test_refill_with_room_left():
+    bins = Counter({((60, 1), (30, 1)): 1, ((50, 1), (20, 1)): 1, ((30, 1),): 1})
+    better = refill(bins, 100)
+    check(better, [60, 30, 50, 20, 30], 100)
+    assert sum(better.values()) == 2
