@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import spread_row_number
+from ..session import cut
 
 CAPACITY = 4096
 #: Steps of the exact search for each pool of windows; a session for which no pool's suffice comes out uncertified.
@@ -335,9 +336,30 @@ def place_entries(entries: DataFrame, capacity: int = CAPACITY, max_steps: int =
     """(session_id, id, tokens, window): the window, from 1 in each session, of each entry or rest of a split one.
 
     Within a size, entries of higher priority, then relevance, come into earlier windows. Full windows that a split entry
-    fills by itself come after the others and are not listed.
+    fills by itself come after the others and are not listed; :func:`place_pieces` has them too.
     """
-    packed = pack_sessions(entries, capacity, max_steps).select("session_id", F.posexplode("bins").alias("pos", "bin"))
+    return _placed(entries, pack_sessions(entries, capacity, max_steps), capacity)
+
+
+def place_pieces(entries: DataFrame, capacity: int = CAPACITY, max_steps: int = STEPS) -> DataFrame:
+    """:func:`place_entries` and a row of ``capacity`` tokens for each full window that a split entry fills by itself.
+
+    These windows come after the packed ones of the session, in the same order of entries; so the tokens of all rows add
+    up to those of the session, in as many windows as :func:`pack_sessions` counts.
+    """
+    packed = cut(pack_sessions(entries, capacity, max_steps))
+    pieces = entry_rows(entries).filter(F.col("tokens") > capacity)
+    pieces = pieces.select("session_id", "id", "priority", "relevance", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("tokens") / capacity))).alias("piece"))
+    order = [F.col("priority").desc(), F.col("relevance").desc(), F.col("id"), F.col("piece")]
+    ranked = spread_row_number(pieces, ["session_id"], order, "rank")
+    before = packed.select(F.col("session_id").alias("_s"), F.aggregate("bins", F.lit(0).cast("long"), lambda n, b: n + b["count"]).alias("before"))
+    full = ranked.join(before, F.col("session_id").eqNullSafe(F.col("_s")))
+    full = full.select("session_id", "id", F.lit(capacity).cast("long").alias("tokens"), (F.col("before") + F.col("rank")).alias("window"))
+    return _placed(entries, packed, capacity).unionByName(full)
+
+
+def _placed(entries: DataFrame, packed: DataFrame, capacity: int) -> DataFrame:
+    packed = packed.select("session_id", F.posexplode("bins").alias("pos", "bin"))
     order = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     packed = packed.withColumn("first", F.coalesce(F.sum("bin.count").over(order), F.lit(0)) + 1)
     runs = packed.select("session_id", "pos", "first", F.col("bin.count").alias("count"), F.explode("bin.content").alias("c")).select("session_id", "pos", "first", "count", F.col("c.size").alias("size"), F.col("c.n").alias("each"))

@@ -11,7 +11,7 @@ from ..session import load
 from .conversations import judge_conversations, rebuild_conversations
 from .leakage import find_leaks
 from .mixing import allocate, mix_report, mix_sources, sized_documents
-from .packing import CAPACITY, pack_sessions, place_entries
+from .packing import CAPACITY, pack_sessions, place_pieces
 from .personal import personal_spans, replace_personal
 from .similar import VectorIndex
 from .spans import SharedSpans
@@ -78,8 +78,8 @@ def p5_open(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The window of every entry."""
-    return place_entries(load(spark, d, "context_entries"))
+    """The window of every entry, or the windows of each of its pieces."""
+    return place_pieces(load(spark, d, "context_entries"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from functools import lru_cache
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mnemospark.llm.packing import best_fit_decreasing, lower_bound, pack, pack_sessions, place_entries, refill
+from mnemospark.llm.packing import best_fit_decreasing, lower_bound, pack, pack_sessions, place_entries, place_pieces, refill
 
 S = "id string, session_id string, source_type string, source_id string, content_preview string, token_count long, relevance_score double, priority long, included_at long"
 
@@ -129,3 +129,18 @@ def test_refill_with_room_left():
     better = refill(bins, 100)
     check(better, [60, 30, 50, 20, 30], 100)
     assert sum(better.values()) == 2
+
+
+def test_pieces_hold_all_tokens(spark):
+    rng = random.Random(4)
+    rows = [(f"e{i:03d}", f"s{i % 2}", rng.choice([10, 500, 1300, 4096, 4097, 8192, 9000, 20480]), rng.random(), rng.randint(0, 2)) for i in range(80)]
+    rows += [("x", "only", 8192, 0.1, 1), ("y", None, 12289, None, None), ("z", "only", 0, 0.1, 1)]
+    placed = place_pieces(frame(spark, rows)).collect()
+    by_id, load = Counter(), Counter()
+    for r in placed:
+        by_id[r["id"]] += r["tokens"]
+        load[r["session_id"], r["window"]] += r["tokens"]
+    assert by_id == +Counter({r[0]: r[2] for r in rows}) and max(load.values()) <= 4096
+    for r in pack_sessions(frame(spark, rows)).collect():
+        assert {w for s, w in load if s == r["session_id"]} == set(range(1, r["windows"] + 1))
+    assert sorted((r["window"], r["tokens"]) for r in placed if r["id"] == "x") == [(1, 4096), (2, 4096)]
