@@ -62,19 +62,47 @@ def allocate(sized: DataFrame, targets: DataFrame, total: Column | None = None)
     return rows.withColumn("rest", rest)
 
 
+def sampling_rates(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, rate, n) of each source with a rest: a document's chance is min(1, rate * size), and n is their sum.
+
+    The rate is such that the expected size is the rest: documents whose chance would exceed 1 are certain, and the rate
+    of the others is computed again for what the certain ones leave, until none exceeds 1. This goes over the numbers
+    of documents of each size, not over the documents. Where all are certain, the rate is 1 divided by the least size.
+    """
+    need = plan.filter("rest > 0 AND squares > 0").select("source", "rest", (F.col("rest") / F.col("squares")).alias("rate"))
+    some = sized.filter("size > 0").select("source", "size")
+    sizes = cut(some.join(broadcast_if_small(need.select("source")), "source", "left_semi").groupBy("source", "size").agg(F.count("*").alias("k")))
+    size, k = F.col("size").cast("double"), F.col("k")
+    rates, before = cut(need), -1
+    while True:
+        sure = F.col("rate") * size >= 1
+        sums = sizes.join(broadcast_if_small(rates), "source").groupBy("source").agg(
+            F.first("rest").alias("rest"), F.sum(F.when(sure, k).otherwise(0)).alias("sure"), F.sum(F.when(sure, size * k).otherwise(0.0)).alias("taken"),
+            F.sum(F.when(sure, 0.0).otherwise(size * k)).alias("other"), F.sum(F.when(sure, 0.0).otherwise(size * size * k)).alias("squares"), F.min("size").alias("least"),
+        )
+        # rounding must not lower a rate, else a certain document could become uncertain again
+        rate = F.when(F.col("squares") > 0, F.greatest((F.col("rest") - F.col("taken")) / F.col("squares"), F.lit(0.0))).otherwise(1.0 / F.col("least"))
+        sums = cut(sums.withColumn("new", rate))
+        certain = sums.agg(F.sum("sure")).first()[0] or 0  # one number
+        if certain == before:
+            return sums.select("source", F.col("new").alias("rate"), (F.col("sure") + F.col("new") * F.col("other")).alias("n"))
+        before = certain
+        rates = cut(sums.join(rates.select("source", F.col("rate").alias("old")), "source").select("source", "rest", F.greatest("new", "old").alias("rate")))
+
+
 def mix_sources(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, repeats) of the mix, rows with at least one repeat.
 
     Within a source that needs a rest, documents are drawn in proportion to their size: with inclusion chance p (certain
-    ones at 1) and a random u by hash of seed, source and doc_id, the n documents of least u/(1-u) : p/(1-p) are taken,
-    n being the number whose expected size is the rest. The n-th rank is found from slice counts, so no source is sorted
-    in one task. Null doc_ids are drawn as one and the same id; documents of other sources are left out.
+    ones at 1, see :func:`sampling_rates`) and a random u by hash of seed, source and doc_id, the n documents of least
+    u/(1-u) : p/(1-p) are taken, n being the number whose expected size is the rest. The n-th rank is found from slice
+    counts, so no source is sorted in one task. Null doc_ids are drawn as one and the same id; documents of other
+    sources are left out.
     """
-    need = F.when(F.col("squares") > 0, F.col("rest") * F.col("size") / F.col("squares")).otherwise(0.0)
-    p = plan.select("source", "copies", need.alias("n"), F.col("size").alias("all"))
+    p = plan.select("source", "copies").join(sampling_rates(sized, plan), "source", "left").na.fill(0.0, ["rate", "n"])
     rows = sized.join(broadcast_if_small(p), "source")  # one row for each target source
     u = (F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    chance = F.least(F.lit(1.0), F.col("n") * F.col("size") / F.greatest("all", F.lit(1)))
+    chance = F.least(F.lit(1.0), F.col("rate") * F.col("size"))
     q = F.when(chance >= 1, -1.0).when(chance <= 0, 1.0).otherwise((u * (1 - chance)) / (u * (1 - chance) + (1 - u) * chance))
     rows = cut(rows.select("doc_id", "source", "size", "copies", "n", q.alias("q")))
     rows = rows.withColumn("slice", F.when(F.col("q") < 0, -1).otherwise(F.least(F.floor(F.col("q") * SLICES), F.lit(SLICES - 1))).cast("int"))

@@ -1,4 +1,4 @@
-from mnemospark.llm.mixing import allocate, mix_report, mix_sources, sized_documents
+from mnemospark.llm.mixing import allocate, mix_report, mix_sources, sampling_rates, sized_documents
 
 D, M = "doc_id long, source string, text string", "source string, target_share double, max_repeats long"
 
@@ -47,3 +47,23 @@ def test_dirty_and_empty(spark):
     assert plan["a"]["size"] == 3 and plan["b"]["short"] and set(plan) == {"a", "b"}
     empty = allocate(sized_documents(d.limit(0)), t)
     assert empty.filter("size > 0").count() == 0 and mix_sources(sized_documents(d.limit(0)), empty).count() == 0
+
+
+def test_skewed_lengths_reach_the_rest(spark):
+    """A document of half of all words, and lengths so skewed that more become certain each time the chances are computed."""
+    halves = spark.range(20_001).selectExpr("id AS doc_id", "'half' AS source", "CASE WHEN id = 0 THEN 20000L ELSE 1L END AS size")
+    steps = spark.range(4000).selectExpr("id AS doc_id", "'steps' AS source", "CAST(1 + floor(1e6 / pow(id + 1, 1.5)) AS long) AS size")
+    sized = halves.unionByName(steps)
+    total = {r[0]: r[1] for r in sized.groupBy("source").sum("size").collect()}
+    every = sum(total.values())
+    targets = [("half", 30_000 / every, 1), ("steps", 0.97 * total["steps"] / every, 1)]
+    plan = allocate(sized, spark.createDataFrame(targets, M))
+    rest = {r["source"]: r["rest"] for r in plan.collect()}
+    rate = {r["source"]: r["rate"] for r in sampling_rates(sized, plan).collect()}
+    expected = {s: 0.0 for s in rate}
+    for r in sized.collect():
+        expected[r["source"]] += r["size"] * min(1.0, rate[r["source"]] * r["size"])
+    mix = {r[0]: r[1] for r in mix_sources(sized, plan).groupBy("source").sum("size").collect()}
+    for s in ("half", "steps"):
+        assert abs(expected[s] - rest[s]) < 1e-6 * rest[s]
+        assert abs(mix[s] - rest[s]) < 0.01 * rest[s]
