@@ -64,6 +64,14 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p3_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest within its collection of every usable stored vector whose xxhash64(collection_id, id) is divisible by 100."""
+    vectors = load(spark, d, "adb_vectors")
+    index = VectorIndex(vectors, load(spark, d, "adb_collections"), cosine=0.97)
+    found = index.nearest(vectors.filter(F.xxhash64("collection_id", "id") % 100 == 0), 10)
+    return found.select("collection_id", "query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that fill their windows with no token left over."""
     packed = pack_sessions(load(spark, d, "context_entries"))
@@ -112,5 +120,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p5_found, p5_open, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p3_top, p5_found, p5_open, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
 }

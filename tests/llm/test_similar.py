@@ -1,5 +1,6 @@
 import numpy as np
 
+from mnemospark.llm.queries import QUERIES
 from mnemospark.llm.similar import VectorIndex, plan_index
 
 V = "id string, collection_id string, vector array<float>, updated_at long, created_at long"
@@ -122,3 +123,25 @@ def test_nearest_of_unclustered_vectors_and_small_collections(spark):
             s = np.round(y @ y[q], 12)
             order = [i for i in np.lexsort((np.arange(len(m)), -s)) if i != q][:10]
             assert got[name, f"{q:04d}"] == {n + 1: f"{i:04d}" for n, i in enumerate(order)}
+
+
+def test_top_of_stored_vectors(spark, tmp_path):
+    """Against brute force, with older states, copies and unusable vectors; queries are those that the hash picks."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 16))
+    state = {(f"v{i:04d}", "hot" if i % 10 else "cold"): [float(t) for t in np.float32(v)] for i, v in enumerate(x)}
+    rows = [(i, c, v, 5, 1) for (i, c), v in state.items()] + [(i, c, [-t for t in v], 3, 1) for (i, c), v in list(state.items())[::3]]
+    rows += [("nan", "hot", [float("nan")] * 16, 5, 1), ("zero", "hot", [0.0] * 16, 5, 1), ("short", "hot", [1.0] * 15, 5, 1), ("else", "gone", [1.0] * 16, 5, 1)]
+    spark.createDataFrame(rows, V).write.parquet(f"{tmp_path}/adb_vectors.parquet")
+    spark.createDataFrame([("hot", 16), ("cold", 16)], C).write.parquet(f"{tmp_path}/adb_collections.parquet")
+    got = {}
+    for r in QUERIES["p3_top"](spark, str(tmp_path)).collect():
+        got.setdefault((r["collection_id"], r["query_id"]), {})[r["rank"]] = r["id"]
+    asked = spark.read.parquet(f"{tmp_path}/adb_vectors.parquet").filter("xxhash64(collection_id, id) % 100 = 0").select("collection_id", "id").distinct().collect()
+    want = {}
+    for c, q in ((r[0], r[1]) for r in asked if (r[1], r[0]) in state):
+        mine = sorted(i for i, name in state if name == c and i != q)
+        y = np.array([state[i, c] for i in mine])
+        s = y @ np.array(state[q, c]) / np.linalg.norm(y, axis=1)
+        want[c, q] = {n + 1: mine[j] for n, j in enumerate(np.argsort(-s)[:10])}
+    assert len(want) > 5 and sum(got[q][n] == want[q][n] for q in want for n in want[q]) >= 0.99 * 10 * len(want) and got.keys() == want.keys()
