@@ -169,6 +169,14 @@ def graph_store_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return graph.walk(edges, [r[0] for r in top.collect()], 2).select("start", "id", "depth", _r("weight"))
 
 
+@query
+def graph_store_walk(spark: SparkSession, d: str) -> DataFrame:
+    """What every source of the edge table reaches in two hops."""
+    edges = graph.current_edges(load(spark, d, "edges"))
+    starts = edges.filter("src IS NOT NULL AND trim(src) <> ''").select(F.col("src").alias("start")).distinct()
+    return graph.walk(edges, starts, 2).select("start", "id", "depth", _r("weight"))
+
+
 @query
 def graph_walk_all(spark: SparkSession, d: str) -> DataFrame:
     """What every node reaches in two hops."""

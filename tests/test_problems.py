@@ -221,3 +221,33 @@ def test_latest_and_row_numbers(spark):
     for k in {r[0] for r in rows}:
         own = sorted(((v, i) for kk, v, i in rows if kk == k), key=lambda t: (-t[0], t[1]))
         assert {(r["v"], r["i"]): r["n"] for r in numbered if r["k"] == k} == {t: n + 1 for n, t in enumerate(own)}
+
+
+def test_store_walk_from_every_source(spark, tmp_path):
+    """Against brute force, on a skewed edge table with older states, loops and edges without a source."""
+    import random
+
+    from mnemospark.plans.reference import QUERIES
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hub", f"n{rng.randint(0, 30)}"]), f"n{rng.randint(0, 30)}", rng.choice("ab"), rng.randint(-2, 9) / 10, k) for k in range(200)]
+    rows += [(None, "n1", "a", 0.5, 1), (" ", "n1", "a", 0.5, 1), ("n1", None, "a", 0.5, 1), ("n2", "n2", "a", 0.3, 999)]
+    spark.createDataFrame(rows, "src string, dst string, relation string, weight double, created_at long").write.parquet(f"{tmp_path}/edges.parquet")
+    newest = {}
+    for s, t, r, w, at in sorted(rows, key=lambda x: x[4]):
+        newest[s, t, r] = w
+    out = {}
+    for (s, t, _), w in newest.items():
+        if t is not None and w >= 0:
+            out.setdefault(s, []).append((t, w))
+    want = {}
+    for s in out:
+        if s is None or not s.strip():
+            continue
+        for t, w in out[s]:
+            for i, depth, x in [(t, 1, w), *((u, 2, y) for u, y in out.get(t, []) if u not in (s, t))]:
+                had = want.get((s, i), (9, -1.0))
+                want[s, i] = min(had[0], depth), max(had[1], x)
+    got = QUERIES["graph_store_walk"](spark, str(tmp_path)).collect()
+    assert {(r["start"], r["id"]): (r["depth"], r["weight"]) for r in got} == want and len(got) == len(want)
+    assert len({r["start"] for r in got}) > 3
