@@ -39,11 +39,12 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that exist after all changes, with the entry that gave the value."""
     feed = load(spark, d, "audit_log")
+    late = F.pmod(F.xxhash64("id"), F.lit(4)) == 0  # any part of the feed may come later
     rev = F.get_json_object("new_value", "$.rev").try_cast("double")
-    delta = reduce_changes(feed, ["table_name", "record_id"], "id", "action", "new_value", [F.col("timestamp"), rev])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as the cluster shuffles into
     table = BucketedTable(spark, scratch(spark, "current"), ["table_name", "record_id"], buckets)
-    table.apply(delta)
+    for part in (~late, late):
+        table.apply(reduce_changes(feed.filter(part), ["table_name", "record_id"], "id", "action", "new_value", [F.col("timestamp"), rev]))
     return table.read().select("table_name", "record_id", F.col("entry").alias("id"))
 
 

@@ -251,3 +251,27 @@ def test_store_walk_from_every_source(spark, tmp_path):
     got = QUERIES["graph_store_walk"](spark, str(tmp_path)).collect()
     assert {(r["start"], r["id"]): (r["depth"], r["weight"]) for r in got} == want and len(got) == len(want)
     assert len({r["start"] for r in got}) > 3
+
+
+def test_changes_query_merges_into_a_base(spark, tmp_path, monkeypatch):
+    from mnemospark.plans import problems
+
+    rows = [(f"a{i:03d}", "t", f"r{i % 40}", ("insert", "update", "delete")[i % 7 % 3], f'{{"rev": {i}}}', i) for i in range(300)]
+    spark.createDataFrame(rows, "id string, table_name string, record_id string, action string, new_value string, timestamp long").write.parquet(f"{tmp_path}/audit_log.parquet")
+    seen, apply = [], BucketedTable.apply
+
+    def watched(self, delta):
+        before = self.manifest()["files"]
+        version = apply(self, delta)
+        seen.append(sum(before[b] != path for b, path in self.manifest()["files"].items() if b in before))
+        return version
+
+    monkeypatch.setattr(BucketedTable, "apply", watched)
+    got = {r["record_id"]: r["id"] for r in problems.p7_found(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, _, record, action, _, _ in rows:
+        if action == "delete":
+            want.pop(record, None)
+        elif action == "insert" or record in want:
+            want[record] = i
+    assert got == want and want and len(seen) == 2 and seen[1] > 0  # buckets with a base were merged and replaced
