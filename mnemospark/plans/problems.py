@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.changes import BucketedTable, reduce_changes
-from ..operators.nested import store_json_rows
+from ..operators.nested import EMITTED, read_table, store_json_rows, write_tables
 from ..operators.orphans import count_orphans, store_orphans
 from ..session import load, scratch
 
@@ -21,9 +22,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each flat table."""
+    """Rows of each flat table and values in its fields, after it was written and read again under its schema.
+
+    A table's schema has every field of its rows as text, so that no value fails to fit.
+    """
     rows = store_json_rows(load(spark, d, "adb_vectors"), load(spark, d, "nodes"), load(spark, d, "workflows"))
-    return rows.groupBy("tag", "kind").agg(F.count("*").alias("n"))
+    path = scratch(spark, "flat")
+    write_tables(rows, path)
+    written = spark.read.schema(EMITTED).parquet(path)
+    fields: dict[str, list[T.StructType]] = {}
+    keys = written.groupBy("tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.json_object_keys("payload"))))).alias("keys"))
+    for tag, names in keys.collect():  # one row for each table
+        # names that differ in case only are read one after another
+        layers: list[dict[str, str]] = [{}]
+        for name in names:
+            layer = next((x for x in layers if name.lower() not in x), None)
+            if layer is None:
+                layers.append(layer := {})
+            layer[name.lower()] = name
+        fields[tag] = [T.StructType([T.StructField(n, T.StringType()) for n in x.values()]) for x in layers]
+    out = spark.createDataFrame([], "tag string, kind string, n long, filled long")
+    for tag, layers in sorted(fields.items()):
+        for k, schema in enumerate(layers):
+            table = read_table(spark, path, tag, schema)
+            filled = sum((F.col(f"`data_{f.name}`").isNotNull().cast("long") for f in schema), F.lit(0).cast("long"))
+            one = table.groupBy("kind").agg((F.count("*") if not k else F.lit(0).cast("long")).alias("n"), F.sum(filled).alias("filled"))
+            out = out.unionByName(one.select(F.lit(tag).alias("tag"), "kind", "n", "filled"))
+    return out.groupBy("tag", "kind").agg(F.sum("n").alias("n"), F.sum("filled").alias("filled"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -275,3 +275,17 @@ def test_changes_query_merges_into_a_base(spark, tmp_path, monkeypatch):
         elif action == "insert" or record in want:
             want[record] = i
     assert got == want and want and len(seen) == 2 and seen[1] > 0  # buckets with a base were merged and replaced
+
+
+def test_rows_query_reads_the_written_tables(spark, tmp_path):
+    from mnemospark.plans import problems
+
+    stamp = "created_at long, updated_at long"
+    spark.createDataFrame([("i", "c", '{"a": 1, "A": "x", "b": [{"n": 1}, {"n": null}, 5]}', 1, 1)], f"id string, collection_id string, metadata string, {stamp}").write.parquet(f"{tmp_path}/adb_vectors.parquet")
+    spark.createDataFrame([("n", '{"o": {"p": true}}', 1, 1)], f"id string, data string, {stamp}").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([], f"id string, input string, {stamp}").write.parquet(f"{tmp_path}/workflows.parquet")
+    rows = store_json_rows(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("adb_vectors", "nodes", "workflows")))
+    want = {(r["tag"], r["kind"]): r["count"] for r in rows.groupBy("tag", "kind").count().collect()}
+    got = {(r["tag"], r["kind"]): (r["n"], r["filled"]) for r in problems.p4_rows(spark, str(tmp_path)).collect()}
+    assert {k: n for k, (n, _) in got.items()} == want
+    assert sum(f for (tag, _), (_, f) in got.items() if tag == "adb_vectors") == 2 and sum(f for (tag, _), (_, f) in got.items() if tag == "adb_vectors.b") == 2
