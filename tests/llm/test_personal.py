@@ -1,11 +1,16 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
+from mnemospark.llm import labelled
 from mnemospark.llm.labelled import Maker, surroundings
 from mnemospark.llm.personal import find_in, personal_spans, replace_personal
 from mnemospark.llm.tagger import K, LABELS, VOCAB, Tagger, gradients, spans, train
 from mnemospark.llm.personal import MODEL
 
+from .held_out import CARRIERS, VALUES, measure
+
 PLAIN = ["The scheduler kept 40 entries.", "Please check the cache layer.", "We compared two snapshots over night.", "Der Planer hat den Bericht geprüft."]
 
 
@@ -14,15 +19,29 @@ def tagger():
     return Tagger.load(MODEL)
 
 
-def test_held_out_accuracy(tagger):
-    """Texts of another seed, with names that were never seen."""
+def test_made_up_accuracy(tagger):
+    """Texts of another seed, from the code that makes those for training."""
     maker = Maker(4321)
     tests = [maker.sample(PLAIN) for _ in range(1500)]
     right = wrong = missed = 0
     for (text, y), found in zip(tests, find_in(tagger, [t for t, _ in tests])):
         want, got = {LABELS[s[2]] for s in spans(y)}, {k for _, _, k in found}
         right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
-    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+    assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.93
+
+
+def test_held_out_carriers_and_layouts(tagger):
+    """Sentences, names and layouts written by hand, which the training code can't make."""
+    got = measure(lambda texts: [{k for _, _, k in found} for found in find_in(tagger, texts)])
+    recall, precision = {k: v[0] for k, v in got.items()}, {k: v[1] for k, v in got.items()}
+    assert min(recall[k] for k in ("email", "phone", "id_number", "street_address")) >= 0.9 and recall["person_name"] >= 0.8
+    assert min(precision.values()) >= 0.85
+
+
+def test_no_carrier_is_kept():
+    """Nothing of the hand-written texts is in the training code."""
+    code = (Path(labelled.__file__)).read_text()
+    assert not [c for kind in CARRIERS.values() for c in kind if c in code] and not [v for kind in VALUES.values() for v in kind if v in code]
 
 
 def test_wrong_labels_score_low(tagger):
