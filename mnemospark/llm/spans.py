@@ -1,11 +1,12 @@
 """Long exact spans shared between records (problem 10).
 
-Every window of SEED characters gets a Rabin-Karp hash. Of these, the least of every NEAR successive ones is kept
-(winnowing), which loses nothing: a shared span keeps the same hashes in both records. Kept hashes are counted in Spark.
-A window of the full length can only be shared if the least hash of each stretch in it is repeated. What is left goes
-through the same again with long seeds, whose surroundings decide: two records that keep the same long seed share a span
-if the seed and the equal characters on its left and right together are long enough. Where many records keep one long
-seed, they aren't paired but counted by each full window around it. Shared windows merge into maximal intervals.
+The tokens are characters, since spans are asked for in characters. Every window of the full length gets a Rabin-Karp
+hash, the windows are counted in Spark, and repeated ones merge into maximal intervals. To keep what is shuffled small,
+windows are counted twice: first together with all others that have the same least seed (the least hash of the windows
+of half the length inside), by one row for each different seed of a text; a seed that stands in one text only settles
+all windows that have it, as equal windows have equal least seeds. Every other window is counted by its own hash of 96
+bits. The texts that hold a window are known by their number and the combined hash of their keys, so records that share
+windows with the same texts form one group.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from ..session import cut
 
 #: Odd multipliers of the two hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Characters of a seed, and of how many successive seeds one is kept. Together they must not exceed the least span.
-SEED, NEAR = 64, 200
-#: Occurrences of one long seed that are paired; more are told apart by the full windows around it first.
-PAIRED = 64
+#: Texts that hold a window, up to which its rows are counted in one task; those of more are dealt out.
+PER_TASK = 100_000
+#: Rows of a batch that goes to Spark.
+BATCH = 1 << 16
 #: Characters that are hashed at once; a longer text is taken whole.
 CHUNK = 1 << 20
 
@@ -109,74 +110,66 @@ def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[lis
         yield keys, parts
 
 
+def _own(keys: list, parts: list[np.ndarray], hasher: Hasher, seed: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last, hash) of the runs of windows of each text that have the same least seed."""
+    sizes = np.array([len(p) for p in parts])
+    stop = np.cumsum(sizes)
+    first, last, h = least_seeds(np.concatenate(parts).astype(np.uint64), np.repeat(stop, sizes), hasher, seed, near)
+    text = np.searchsorted(stop, first, "right")
+    begin = (stop - sizes)[text]
+    return text, first - begin, last - begin, h
+
+
 def _seeds(least: int, seed: int, near: int):
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("chars", pa.int32())])
+    """The different least seeds of each text."""
+    schema = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(BASES[0])
         for rows, parts in _chunks(batches, least):
-            sizes = np.array([len(p) for p in parts])
-            stop = np.cumsum(sizes)
-            first, last, h = least_seeds(np.concatenate(parts).astype(np.uint64), np.repeat(stop, sizes), hasher, seed, near)
-            owner = np.searchsorted(stop, first, "right")
-            begin = (stop - sizes)[owner]
-            key = np.array([r[0] for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[owner]), pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32)), pa.array(sizes[owner].astype(np.int32))], schema=schema)
+            text, _, _, h = _own(rows, parts, hasher, seed, near)
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            new = (np.diff(text, prepend=-1) != 0) | (np.diff(h, prepend=np.uint64(0)) != 0)
+            keys = np.array([(r[0], r[2]) for r in rows], np.int64).reshape(-1, 2)[text[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], schema=schema)
 
     return run
 
 
-def _long_seeds(least: int, reach: int, size: int):
-    """The kept long seeds of the windows that are left: two hashes, key, position, and the characters beside them."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("left", pa.string()), ("right", pa.string())])
-    side = least - size
+def _windows(least: int, seed: int, near: int):
+    """Every window of the full length whose least seed stands in other texts, too: its hash, place and what it may share."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("first", pa.bool_()), ("most", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hasher(BASES[0]), Hasher(BASES[1])
         for rows, parts in _chunks(batches, least):
-            out: list[tuple] = []
-            for (key, text, lonely), codes in zip(rows, parts):
-                c = codes.astype(np.uint64)
+            text, first, last, h = _own(rows, parts, one, seed, near)
+            at = np.searchsorted(text, np.arange(len(rows) + 1))
+            for i, (k1, _, k2, again) in enumerate(rows):
+                known = {s["h"]: s["n"] for s in again}
+                runs = [(int(first[j]), int(last[j]) + 1, known[x]) for j, x in zip(range(at[i], at[i + 1]), h[at[i] : at[i + 1]].view(np.int64).tolist()) if x in known]
+                c = parts[i].astype(np.uint64)
                 s1, s2 = one.sums(c), two.sums(c)
-                runs = sorted((r["first"], r["last"]) for r in lonely)
-                starts = [0, *(last + 1 for _, last in runs)]
-                stops = [*(first - reach for first, _ in runs), len(c) - least + 1]
-                at: set[int] = set()
-                for lo, hi in zip(starts, stops):
-                    hi = min(hi, len(c) - least + 1)
-                    # the long seeds of a full window make one stretch; in pieces, so that a long text takes no more memory
-                    for p in range(lo, hi, 1 << 16):
-                        q = min(hi, p + (1 << 16))
-                        h = one.windows(s1, size, p, q + side)
-                        at.update((np.lib.stride_tricks.sliding_window_view(h, side + 1).argmin(1) + np.arange(p, q)).tolist())
-                for x in sorted(at):
-                    a, b = one.windows(s1, size, x, x + 1).view(np.int64)[0], two.windows(s2, size, x, x + 1).view(np.int64)[0]
-                    out.append((int(a), int(b), key, x, text[max(0, x - side) : x], text[x + size : x + least]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
-
-    return run
-
-
-def _same_sides(need: int):
-    """Of pairs of occurrences, those whose equal characters on both sides of the seed are ``need`` or more together."""
-    schema = pa.schema([("ka", pa.int64()), ("kb", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("pa", pa.int32()), ("pb", pa.int32())])
-
-    def common(x: str, y: str) -> int:
-        n = min(len(x), len(y))
-        if x[:n] == y[:n]:
-            return n
-        return next(i for i in range(n) if x[i] != y[i])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for ka, kb, at, bt, la, lb, ra, rb in zip(*(b.column(i).to_pylist() for i in range(8))):
-                after = common(ra, rb)
-                before = common(la[::-1], lb[::-1])
-                if before + after >= need:
-                    out.append((ka, kb, before, after, at, bt))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, schema)], schema=schema)
+                seen = np.zeros(0, np.uint64)
+                spans = [(p, min(p + BATCH, hi), n) for lo, hi, n in runs for p in range(lo, hi, BATCH)]
+                while spans:
+                    taken, size = [], 0
+                    while spans and size < BATCH:
+                        taken.append(spans.pop(0))
+                        size += taken[-1][1] - taken[-1][0]
+                    h1 = np.concatenate([one.windows(s1, least, p, q) for p, q, _ in taken])
+                    h2 = np.concatenate([two.windows(s2, least, p, q) for p, q, _ in taken]) >> np.uint64(32)
+                    pos = np.concatenate([np.arange(p, q, dtype=np.int32) for p, q, _ in taken])
+                    most = np.concatenate([np.full(q - p, n, np.int64) for p, q, n in taken])
+                    # windows that the text holds more than once count once
+                    new = np.zeros(len(h1), bool)
+                    values, where = np.unique(h1 ^ (h2 << np.uint64(20)), return_index=True)
+                    new[where[~np.isin(values, seen)]] = True
+                    if spans or len(seen):
+                        seen = np.union1d(seen, values)
+                    n = len(h1)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), pa.array(pos), pa.array(new), pa.array(most)], schema=schema)
 
     return run
 
@@ -185,75 +178,63 @@ class SharedSpans:
     """Spans of at least ``least`` characters (code points) that stand verbatim in more than one record.
 
     ``documents`` has doc_id and text. Null ids and texts are left out; several rows of one doc_id are one record with
-    several texts, which doesn't share with itself. Equal texts are handled once, under a key of 64 bits of their own.
-    Shorter texts share nothing. Other columns play no part.
+    several texts, which is no pair with itself, though what its texts share is an interval. Equal texts are handled once, under a key of 128 bits. Shorter texts share nothing. Other columns play
+    no part.
     """
 
-    def __init__(self, documents: DataFrame, least: int = 400, seed: int = SEED, near: int = NEAR, paired: int = PAIRED):
-        if seed + near - 1 > least:
-            raise ValueError("seed + near - 1 must not exceed least")
-        self.least, self.size = least, max(1, least * 3 // 4)
-        side = least - self.size
+    def __init__(self, documents: DataFrame, least: int = 400, per_task: int = PER_TASK):
+        self.least, self.per_task = least, per_task
+        seed = max(1, least // 2)
+        near = least - seed + 1  # a window of full length is exactly one stretch of seeds
         texts = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter((F.col("doc_id").isNotNull()) & (F.length("text") >= least))
-        texts = texts.withColumn("key", F.xxhash64("text"))
-        self.members = texts.select("key", "doc_id", F.length("text").alias("chars"))
+        texts = texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+        self.members = texts.select("k1", "k2", "doc_id", F.length("text").alias("chars"))
         # equal texts once, reduced before they are shuffled; what follows keeps this partitioning
-        once = texts.select("key", "text").dropDuplicates(["key"])
-        # a window of full length that starts at p holds the stretches from p to p + reach
-        reach = least - seed - near + 1
-        seeds = once.mapInArrow(_seeds(least, seed, near), "h long, key long, first int, last int, chars int")
-        again = seeds.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h", F.lit(True).alias("again"))
-        marked = seeds.join(again, "h", "left")
-        run = F.when(F.col("again").isNull(), F.struct("first", "last"))
-        lonely = marked.groupBy("key").agg(F.max("again").alias("again"), F.max("chars").alias("chars"), F.sort_array(F.collect_set(run)).alias("lonely"))
-        stop = F.col("chars") - least + reach + 1
-        runs = F.concat(F.array(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))), "lonely", F.array(F.struct(stop.alias("first"), stop.alias("last"))))
-        wide = F.exists(F.sequence(F.lit(1), F.size(runs) - 1), lambda i: F.element_at(runs, i + 1)["first"] - reach > F.element_at(runs, i)["last"] + 1)
-        chosen = lonely.filter(F.col("again") & wide).select("key", "lonely")
-        bodies = once.join(chosen, "key").select("key", "text", "lonely")
-        held = bodies.mapInArrow(_long_seeds(least, reach, self.size), "h1 long, h2 long, key long, pos int, left string, right string")
-        held = cut(held)
-        sizes = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h1", "h2", "n")
-        held = held.join(sizes, ["h1", "h2"])
-        few = held.filter(F.col("n") <= paired).drop("n")
-        x, y = few.alias("x"), few.alias("y")
-        both = x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & (F.col("x.key") < F.col("y.key")))
-        both = both.select("x.key", F.col("y.key").alias("kb"), "x.pos", F.col("y.pos").alias("pb"), "x.left", F.col("y.left").alias("lb"), "x.right", F.col("y.right").alias("rb"))
-        #: Pairs of occurrences that share a span: keys, positions of the seed, equal characters before and after it.
-        self.met = cut(both.mapInArrow(_same_sides(side), "ka long, kb long, before int, after int, pa int, pb int"))
-        many = held.filter(F.col("n") > paired)
-        offset = F.col("o")
-        windows = many.select("h1", "h2", "key", "pos", "left", "right", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("o"))
-        windows = windows.filter((F.length("left") >= side - offset) & (F.length("right") >= offset))
-        beside = F.xxhash64(F.expr(f"right(left, {side} - o)"), F.expr("left(right, o)"), "o")
-        windows = windows.select("h1", "h2", beside.alias("h3"), "key", (F.col("pos") - side + offset).alias("start"))
-        groups = windows.groupBy("h1", "h2", "h3").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("h1", "h2", "h3")
-        #: Full windows around the seeds of many, that stand in more than one text.
-        self.windows = cut(windows.join(groups, ["h1", "h2", "h3"]))
+        once = texts.select("k1", "text", "k2").dropDuplicates(["k1", "k2"])
+        seeds = once.mapInArrow(_seeds(least, seed, near), "h long, k1 long, k2 long")
+        again = seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        chosen = seeds.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "n")).alias("again"))  # a text's own seeds
+        bodies = once.join(chosen, ["k1", "k2"]).select("k1", "text", "k2", "again")
+        rows = bodies.mapInArrow(_windows(least, seed, near), "h1 long, h2 int, k1 long, k2 long, pos int, first boolean, most long")
+        self.rows = rows.withColumn("shares", (1 + F.floor(F.col("most") / per_task)).cast("int")).drop("most")
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of windows that stand in more than one text: with the number of these, and their keys combined.
+
+        No task gets more rows of one window than about ``per_task`` texts have: where the least seed says that there may
+        be more, they are summed up before they are shuffled, and what they sum up to is joined with them.
+        """
+        texts, combined = F.sum(F.col("first").cast("long")), F.bit_xor(F.when(F.col("first"), F.xxhash64("k1", "k2")).otherwise(F.lit(0).cast("long")))
+        w = Window.partitionBy("h1", "h2")
+        few = rows.filter("shares = 1").withColumns({"n": texts.over(w), "together": combined.over(w)})
+        many = rows.filter("shares > 1")
+        total = many.groupBy("h1", "h2").agg(texts.alias("n"), combined.alias("together"))
+        return few.unionByName(many.join(total, ["h1", "h2"])).filter("n > 1")
+
+    def groups(self) -> DataFrame:
+        """(n, together, k1, k2): for each window that is shared, the texts that hold it; each set of texts comes out once."""
+        return self._counted(self.rows.filter("first").drop("pos")).select("n", "together", "k1", "k2").distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, distinct: records that share a span."""
-        once = self.windows.select("h1", "h2", "h3", "key").distinct()
-        other = once.select("h1", "h2", "h3", F.col("key").alias("kb"))
-        keys = once.withColumnRenamed("key", "ka").join(other, ["h1", "h2", "h3"]).filter("ka < kb").select("ka", "kb")
-        keys = self.met.select("ka", "kb").unionByName(keys).distinct()
-        m = self.members.select("key", "doc_id").distinct()
-        a, b = m.select(F.col("key").alias("ka"), F.col("doc_id").alias("p")), m.select(F.col("key").alias("kb"), F.col("doc_id").alias("q"))
-        across = keys.join(a, "ka").join(b, "kb").select("p", "q")
-        shared = m.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("ka"))
-        same = a.join(shared, "ka", "left_semi").join(b.withColumnRenamed("kb", "ka"), "ka").select("p", "q")
+        groups = cut(self.groups())
+        other = groups.select("n", "together", F.col("k1").alias("l1"), F.col("k2").alias("l2"))
+        keys = groups.join(other, ["n", "together"]).filter("k1 < l1 OR (k1 = l1 AND k2 < l2)").select("k1", "k2", "l1", "l2").distinct()
+        m = self.members.select("k1", "k2", "doc_id").distinct()
+        a, b = m.withColumnRenamed("doc_id", "p"), m.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("doc_id").alias("q"))
+        across = keys.join(a, ["k1", "k2"]).join(b, ["l1", "l2"]).select("p", "q")
+        twice = m.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1").select("k1", "k2")
+        same = a.join(twice, ["k1", "k2"], "left_semi")
+        same = same.join(same.withColumnRenamed("p", "q"), ["k1", "k2"]).select("p", "q")
         both = across.unionByName(same).filter("p <> q")
         return both.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b")).distinct()
 
     def _runs(self) -> DataFrame:
-        end = F.lit(self.size)
-        one = self.met.select(F.col("ka").alias("key"), (F.col("pa") - F.col("before")).alias("start"), (F.col("pa") + end + F.col("after")).alias("end"))
-        two = self.met.select(F.col("kb").alias("key"), (F.col("pb") - F.col("before")).alias("start"), (F.col("pb") + end + F.col("after")).alias("end"))
-        rows = one.unionByName(two).unionByName(self.windows.select("key", "start", (F.col("start") + self.least).alias("end"))).distinct()
-        w = Window.partitionBy("key").orderBy("start", "end")  # a text's own intervals
-        before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-        return rows.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+        """(k1, k2, start, end): repeated windows of each text, merged."""
+        w = Window.partitionBy("k1", "k2").orderBy("pos")  # a text's own windows
+        rows = self._counted(self.rows).select("k1", "k2", "pos")
+        rows = rows.withColumn("new", F.when(F.col("pos") - F.lag("pos").over(w) <= self.least, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+        return rows.groupBy("k1", "k2", "run").agg(F.min("pos").alias("start"), (F.max("pos") + self.least).alias("end")).drop("run")
 
     def intervals(self) -> DataFrame:
         """(doc_id, start, end): the maximal intervals of each record's text, in characters from 0, that stand elsewhere, too.
@@ -261,9 +242,9 @@ class SharedSpans:
         A text that is the whole text of another record, too, is one interval.
         """
         m = self.members.distinct()
-        whole = m.groupBy("key").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1").select("key")
-        part = m.join(self._runs().join(whole, "key", "left_anti"), "key").select("doc_id", "start", "end")
-        return part.unionByName(m.join(whole, "key", "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("chars").alias("end")))
+        whole = m.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("copies")).filter("copies > 1").select("k1", "k2")
+        part = m.join(self._runs().join(whole, ["k1", "k2"], "left_anti"), ["k1", "k2"]).select("doc_id", "start", "end")
+        return part.unionByName(m.join(whole, ["k1", "k2"], "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("chars").alias("end")))
 
     def report(self) -> DataFrame:
         """(doc_id, chars, shared_chars, share) for each record with at least ``least`` characters."""

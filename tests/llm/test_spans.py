@@ -58,23 +58,23 @@ def made(seed, n=60, least=60):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(spark, seed):
-    assert len(check(spark, made(seed), 60, seed=9, near=20)) > 5
+    assert len(check(spark, made(seed), 60)) > 5
 
 
-def test_hot_passages_by_windows(spark):
+def test_hot_passages_dealt_out(spark):
     rng = random.Random(9)
     body = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
     brief, short = body(75), body(52)
     docs = [(i, body(40) + (brief if i % 2 else short) + body(40)) for i in range(40)]
-    want = check(spark, docs, 60, seed=9, near=20, paired=3)
+    want = check(spark, docs, 60, per_task=3)
     assert len(want) == 20 * 19 // 2
 
 
 def test_dirty(spark):
     long = "".join(random.Random(4).choice("abcdefgh") for _ in range(30_000))
     docs = [(1, None), (2, ""), (None, long), (3, long), (3, long), (4, long), (5, long[100:] + "x"), (6, "a" * 500), (7, "a" * 300), (8, "short")]
-    check(spark, docs, 60, seed=9, near=20)
-    check(spark, [], 60, seed=9, near=20)
+    check(spark, docs, 60)
+    check(spark, [], 60)
 
 
 def test_whole_lengths(spark):
