@@ -26,8 +26,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PER_TASK = 100_000
 #: Rows of a batch that goes to Spark.
 BATCH = 1 << 16
-#: Characters that are hashed at once; a longer text is taken whole.
-CHUNK = 1 << 20
+#: Characters that are hashed at once, few enough for a processor's cache; a longer text is taken whole.
+CHUNK = 1 << 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -191,12 +191,16 @@ class SharedSpans:
         self.members = texts.select("k1", "k2", "doc_id", F.length("text").alias("chars"))
         # equal texts once, reduced before they are shuffled; what follows keeps this partitioning
         once = texts.select("k1", "text", "k2").dropDuplicates(["k1", "k2"])
-        seeds = once.mapInArrow(_seeds(least, seed, near), "h long, k1 long, k2 long")
-        again = seeds.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        kind = "h long, k1 long, k2 long"
+        # counted from all rows, so that no text is shuffled for it; n may count equal texts, too
+        all_seeds = texts.select("k1", "text", "k2").mapInArrow(_seeds(least, seed, near), kind)
+        again = cut(all_seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("h", "n"))
+        seeds = once.mapInArrow(_seeds(least, seed, near), kind)
+        self.hot = (again.agg(F.max("n")).first()[0] or 0) > per_task  # one number
         chosen = seeds.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "n")).alias("again"))  # a text's own seeds
         bodies = once.join(chosen, ["k1", "k2"]).select("k1", "text", "k2", "again")
         rows = bodies.mapInArrow(_windows(least, seed, near), "h1 long, h2 int, k1 long, k2 long, pos int, first boolean, most long")
-        self.rows = rows.withColumn("shares", (1 + F.floor(F.col("most") / per_task)).cast("int")).drop("most")
+        self.rows = rows
 
     def _counted(self, rows: DataFrame) -> DataFrame:
         """``rows`` of windows that stand in more than one text: with the number of these, and their keys combined.
@@ -206,14 +210,16 @@ class SharedSpans:
         """
         texts, combined = F.sum(F.col("first").cast("long")), F.bit_xor(F.when(F.col("first"), F.xxhash64("k1", "k2")).otherwise(F.lit(0).cast("long")))
         w = Window.partitionBy("h1", "h2")
-        few = rows.filter("shares = 1").withColumns({"n": texts.over(w), "together": combined.over(w)})
-        many = rows.filter("shares > 1")
+        few = (rows.filter(F.col("most") <= self.per_task) if self.hot else rows).withColumns({"n": texts.over(w), "together": combined.over(w)})
+        if not self.hot:
+            return few.filter("n > 1")
+        many = rows.filter(F.col("most") > self.per_task)
         total = many.groupBy("h1", "h2").agg(texts.alias("n"), combined.alias("together"))
         return few.unionByName(many.join(total, ["h1", "h2"])).filter("n > 1")
 
     def groups(self) -> DataFrame:
         """(n, together, k1, k2): for each window that is shared, the texts that hold it; each set of texts comes out once."""
-        return self._counted(self.rows.filter("first").drop("pos")).select("n", "together", "k1", "k2").distinct()
+        return self._counted(self.rows.filter("first")).select("n", "together", "k1", "k2").distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, distinct: records that share a span."""
