@@ -47,6 +47,16 @@ windows AS (SELECT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (
 SELECT DISTINCT doc_id, item_id FROM windows JOIN seeds USING (k, s)
 """
 
+# the words of an item that lie in seeds of the document; where tiles overlap nowhere, these are the words in tiles
+_P8_COVERED = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT DISTINCT least(13, len(w)) AS k FROM i WHERE len(w) > 0),
+seeds AS (SELECT item_id, p, n, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT item_id, w, len(w) AS n, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+windows AS (SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+marked AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(p, p + k)) AS place FROM windows JOIN seeds USING (k, s))
+SELECT doc_id, item_id, count(*) AS covered, count(*) / n AS coverage, count(*) / n >= 0.6 AS leaked FROM marked GROUP BY doc_id, item_id, n
+"""
+
 _WINDOWS = """
 WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND length(text) >= 400),
 w AS (SELECT doc_id, p, hash(substring(text, p, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS p FROM t)),
@@ -55,4 +65,4 @@ _P10 = f"{_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b F
 _P10_SHARES = f"""{_WINDOWS}, c AS (SELECT doc_id, sum(least(400, coalesce(nxt - p, 400)))::BIGINT AS n FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM (SELECT DISTINCT doc_id, p FROM r)) GROUP BY doc_id)
 SELECT t.doc_id, length(text) AS chars, coalesce(n, 0) AS shared_chars, coalesce(n, 0) / length(text) AS share FROM t LEFT JOIN c ON c.doc_id = t.doc_id"""
 
-ORACLES: dict[str, str] = {"p1_found": _P1, "p1_turns": _P1_TURNS, "p3_found": _P3, "p8_found": _P8, "p9_found": _P9, "p10_found": _P10, "p10_shares": _P10_SHARES}
+ORACLES: dict[str, str] = {"p1_found": _P1, "p1_turns": _P1_TURNS, "p3_found": _P3, "p8_found": _P8, "p8_covered": _P8_COVERED, "p9_found": _P9, "p10_found": _P10, "p10_shares": _P10_SHARES}

@@ -92,8 +92,13 @@ def p5_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items that they hold a passage of."""
+    return find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each item the tiles of each document cover, and whether the item leaked by that."""
     leaks = find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
-    return leaks.filter(F.col("longest") >= F.least(F.lit(13), F.col("item_words"))).select("doc_id", "item_id").distinct()
+    return leaks.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("coverage").alias("coverage"), F.max("leaked").alias("leaked"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,5 +125,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p3_top, p5_found, p5_open, p5_windows, p8_found, p9_found, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p3_top, p5_found, p5_open, p5_windows, p8_found, p8_covered, p9_found, p9_shares, p10_found, p10_shares)
 }

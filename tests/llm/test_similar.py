@@ -1,7 +1,7 @@
 import numpy as np
 
 from mnemospark.llm.queries import QUERIES
-from mnemospark.llm.similar import VectorIndex, plan_index
+from mnemospark.llm.similar import VectorIndex, hamming_radius, plan_index
 
 V = "id string, collection_id string, vector array<float>, updated_at long, created_at long"
 C = "id string, dim long"
@@ -78,11 +78,35 @@ def test_many_copies_and_empty(spark):
     assert empty.pairs().count() == 0
 
 
-def test_plan():
-    tables, bits, radius = plan_index(20_000, 0.97, 0.997)
-    same = (1 - np.arccos(0.97) / np.pi) ** bits
-    assert 1 - (1 - same) ** tables >= 0.997 and radius > 10
-    assert plan_index(10**9, 0.97, 0.997)[1] > bits
+def test_plan_meets_every_code_within_the_radius():
+    """Pigeonhole: whatever bits differ, one substring differs in no more than its probing radius."""
+    rng = np.random.default_rng(1)
+    radius = hamming_radius(0.97, 0.997)
+    assert 15 < radius < 22
+    for largest in (10, 2_000, 20_000, 10**6, 10**8):
+        parts = plan_index(largest, radius)
+        assert sum(n for _, n, _ in parts) <= 128 and all(n <= 32 for _, n, _ in parts)
+        for r in range(radius + 1):
+            for _ in range(100):
+                bits = set(rng.choice(128, r, replace=False).tolist())
+                assert any(sum(f <= b < f + n for b in bits) <= near for f, n, near in parts)
+    assert len(plan_index(10**8, radius)) < len(plan_index(2_000, radius))
+
+
+def test_probing_meets_what_brute_force_does(spark):
+    """All pairs of codes within the radius, with groups so small that rows visit others and crowded ones are dealt out."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 24))
+    x[300:600] = x[0] + rng.standard_normal((300, 24)) * 0.04
+    rows = [(f"v{i:04d}", "c1", [float(t) for t in v], 5, 1) for i, v in enumerate(x)]
+    for group in (1 << 15, 64, 8):
+        index = VectorIndex(spark.createDataFrame(rows, V), spark.createDataFrame([("c1", 24)], C), group=group)
+        codes = index.codes.select("vid", "c0", "c1").collect()
+        c = np.array([[r[1], r[2]] for r in codes], np.int64).view(np.uint64)
+        far = np.bitwise_count(c[:, None, :] ^ c[None, :, :]).sum(2)
+        want = {tuple(sorted((codes[i][0], codes[j][0]))) for i, j in zip(*np.nonzero(far <= index.radius)) if i < j}
+        got = [tuple(r) for r in index.candidates().collect()]
+        assert len(want) > 20_000 and set(got) == want and len(got) == len(want)
 
 
 def test_nearest_recall(spark):
