@@ -36,7 +36,7 @@ def _vector_channel(vectors: DataFrame, query: Sequence[float], k: int, metric:
     return _min_max(found, "score", "vec_sim", 1e-6, invert=True).select("id", "vec_sim", "metadata")
 
 
-def hybrid_query(vectors: DataFrame, edges: DataFrame, query: Sequence[float], anchor: str, alpha: float = 0.6, depth: int = 2, top_k: int = 10, metric: str = "cosine", filter: dict | None = None, mode: str = "paths") -> DataFrame:
+def hybrid_query(vectors: DataFrame, edges: DataFrame, query: Sequence[float], anchor: str, alpha: float = 0.6, depth: int = 2, top_k: int = 10, metric: str = "cosine", filter: dict | None = None, mode: str = "exact") -> DataFrame:
     """(id, score, vector_score, graph_weight, metadata): alpha * similarity + (1 - alpha) * weight, best first.
 
     Candidates are vector results only, ``max(20 k, 100)`` of them; similarity is min-max scaled over these, graph
@@ -49,7 +49,7 @@ def hybrid_query(vectors: DataFrame, edges: DataFrame, query: Sequence[float], a
     return rows.orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def tri_modal_query(vectors: DataFrame | None, edges: DataFrame | None, index: TextIndex | None, query: Sequence[float] = (), anchor: str = "", text: str = "", alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3, depth: int = 2, top_k: int = 10, metric: str = "cosine", filter: dict | None = None, mode: str = "paths") -> DataFrame:
+def tri_modal_query(vectors: DataFrame | None, edges: DataFrame | None, index: TextIndex | None, query: Sequence[float] = (), anchor: str = "", text: str = "", alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3, depth: int = 2, top_k: int = 10, metric: str = "cosine", filter: dict | None = None, mode: str = "exact") -> DataFrame:
     """(id, score, vector_score, graph_score, text_score, metadata): alpha * vector + beta * graph + gamma * text, best first.
 
     Candidates are the union of all channels, each min-max scaled over its own results: a single vector result gets 1, a

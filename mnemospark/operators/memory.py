@@ -6,6 +6,7 @@ leaves ties, the id decides.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +53,20 @@ def speaker(role):
     return F.when(F.lower(role).isin("ai", "assistant", "system"), "AI").otherwise("Human")
 
 
-def transcript(messages: DataFrame) -> DataFrame:
-    """(conversation_id, transcript): a line ``Human: ...`` or ``AI: ...`` for each message in order.
+#: Messages of a conversation that go into one row of a transcript.
+PART = 1000
 
-    A transcript is one value, so a conversation has to fit in a row here.
+
+def transcript(messages: DataFrame, part: int = PART) -> DataFrame:
+    """(conversation_id, part, transcript): a line ``Human: ...`` or ``AI: ...`` for each message in order.
+
+    A conversation of more than ``part`` messages comes in several rows, numbered from 0; messages are numbered over range
+    partitions, so a row never holds more than ``part`` of them and no conversation is in one task as a whole.
     """
     line = F.concat(speaker(F.col("role")), F.lit(": "), F.coalesce("content", F.lit("")))
-    rows = messages.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", line.alias("line")))).alias("l"))
-    return rows.select("conversation_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript"))
+    rows = spread_row_number(messages.select("conversation_id", "created_at", "id", line.alias("line")), ["conversation_id"], [F.col("created_at"), F.col("id")], "n")
+    rows = rows.groupBy("conversation_id", F.floor((F.col("n") - 1) / part).alias("part")).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l"))  # at most ``part``
+    return rows.select("conversation_id", "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript"))
 
 
 def message_at(messages: DataFrame, index: int) -> DataFrame:
@@ -168,13 +175,14 @@ def build_window(entries: DataFrame, max_tokens: int, session_id: str | None = N
 
     An entry that doesn't fit is skipped and packing goes on. Zero and negative counts always fit, null counts 0.
 
-    Each session is one ordered fold, over what can be taken at all: as what is used never falls, of one size only the
-    first ``max_tokens / size`` entries can, so about ``max_tokens * ln(max_tokens)`` of any session are folded, picked by
-    a group limit before the shuffle. Sessions with zero or negative counts keep those, and with negative ones all entries.
+    Each session is one ordered pass that keeps a single number, over what can be taken at all: as what is used never
+    falls, of one size only the first ``max_tokens / size`` entries can, so about ``max_tokens * ln(max_tokens)`` of any
+    session are passed over, picked by a group limit before the shuffle. Sessions with zero or negative counts keep those,
+    and with negative ones all entries; their rows are sorted by Spark and stream through a task, none is held.
     """
     rows = entries if session_id is None else entries.filter(F.col("session_id") == session_id)
     count = F.coalesce("token_count", F.lit(0)).cast("long")
-    rows = rows.select("session_id", "id", count.alias("t"), (-F.col("priority")).alias("p"), (-F.col("relevance_score")).alias("r"))
+    rows = rows.select(F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("string").alias("id"), count.alias("t"), (-F.col("priority")).alias("p"), (-F.col("relevance_score")).alias("r"))
     falls = rows.filter("t < 0").select(F.col("session_id").alias("_s")).distinct()
     rows = rows.filter(F.col("t") <= max_tokens)
     same = F.col("session_id").eqNullSafe(F.col("_s"))
@@ -183,15 +191,26 @@ def build_window(entries: DataFrame, max_tokens: int, session_id: str | None = N
     most = max(max_tokens, 1)
     first = steady.filter("t > 0").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).filter(F.col("_n") * F.col("t") <= max_tokens).drop("_n")
     rows = first.unionByName(steady.filter("t <= 0")).unionByName(other)
-    lists = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("p", "r", "id", "t"))).alias("items"))
-    kind = "struct<used:bigint,taken:array<struct<id:string,t:bigint,used:bigint>>>"
-    begin = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:string,t:bigint,used:bigint>>").alias("taken")).cast(kind)
-    step = lambda s, x: F.when(
-        s["used"] + x["t"] <= max_tokens,
-        F.struct((s["used"] + x["t"]).alias("used"), F.concat(s["taken"], F.array(F.struct(x["id"].alias("id"), x["t"].alias("t"), (s["used"] + x["t"]).alias("used")))).alias("taken")).cast(kind),
-    ).otherwise(s)
-    taken = lists.select("session_id", F.explode(F.aggregate("items", begin, step)["taken"]).alias("x"))
-    return taken.select("session_id", F.col("x.id").alias("id"), F.col("x.t").alias("token_count"), F.col("x.used").alias("used"))
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "p", "r", "id").select("session_id", "id", "t")
+    return ordered.mapInArrow(_fill(max_tokens), "session_id string, id string, token_count long, used long")
+
+
+def _fill(max_tokens: int):
+    def run(batches):
+        now, used = object(), 0
+        for b in batches:
+            taken, sums = [], []
+            for i, (session, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                if session != now:
+                    now, used = session, 0
+                if used + t <= max_tokens:
+                    used += t
+                    taken.append(i)
+                    sums.append(used)
+            some = b.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(sums, pa.int64())], names=["session_id", "id", "token_count", "used"])
+
+    return run
 
 
 def session_entries(entries: DataFrame, session_id: str) -> DataFrame:

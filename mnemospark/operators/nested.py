@@ -88,48 +88,60 @@ def _parse_deep(text: str):
     return done[0]
 
 
+def escaped(name: str, signs: str = ".[]#") -> str:
+    """A key or an id in which signs that part others are marked by a backslash."""
+    for c in "\\" + signs:
+        name = name.replace(c, "\\" + c)
+    return name
+
+
 def visit(tag: str, record_id: str | None, root) -> Iterator[tuple]:
     """Depth-first rows of one parsed record.
 
     Kinds: ``root`` (the record), ``object`` (an object that is an element of an array, at any depth), ``value`` (another
     element of an array). Objects outside arrays stay columns of their row, under dotted names. ``parent_pk`` is the key
-    of the nearest row that contains this one.
+    of the nearest row that contains this one. Keys hold the record's table and id and the place; in these and in names a
+    dot, bracket or ``#`` that belongs to a JSON key or an id stands behind a backslash, so no two rows or columns meet in
+    one name, and a null id is none that a record can have. ``path`` has the keys as they are. Empty objects and arrays
+    are values of their row.
     """
-    rid = record_id or ""
-    # (row's tag, pk, parent pk, path, kind, node); depth first, in document order
-    todo = [(tag, rid, None, "$", "root", root)]
+    top = f"{tag}=" + escaped(record_id) if record_id is not None else f"{tag}~"
+    # (row's tag, pk, parent pk, path, escaped path, kind, node); depth first, in document order
+    todo = [(tag, top, None, "$", "$", "root", root)]
     while todo:
-        at, pk, parent, path, kind, node = todo.pop()
+        at, pk, parent, path, place, kind, node = todo.pop()
         flat: dict = {}
         children: list[tuple] = []
         if isinstance(node, dict):
-            inner = [("", path, node)]
+            inner = [("", path, place, node)]
             while inner:
-                prefix, here, obj = inner.pop()
+                prefix, here, there, obj = inner.pop()
                 for key, v in obj.items():
-                    name, sub = prefix + key, f"{here}.{key}"
-                    if isinstance(v, dict):
-                        inner.append((name + ".", sub, v))
+                    safe = escaped(key)
+                    name, sub, safe_sub = prefix + safe, f"{here}.{key}", f"{there}.{safe}"
+                    if v == {} or v == []:
+                        flat[name] = v
+                    elif isinstance(v, dict):
+                        inner.append((name + ".", sub, safe_sub, v))
                     elif isinstance(v, list):
-                        children.append((f"{at}.{name}", sub, v))
+                        children.append((f"{at}.{name}", sub, safe_sub, v))
                     else:
                         flat[name] = v
         elif isinstance(node, list):
-            children.append((at if kind == "root" else f"{at}.items", path, node))
+            children.append((at if kind == "root" else f"{at}.items", path, place, node))
         else:
             flat["value"] = node
         yield at, record_id, pk, parent, path, kind, json.dumps(flat, ensure_ascii=False, separators=(",", ":"))
         below: list[tuple] = []
-        for child_tag, child_path, items in children:
-            lists = [(child_path, items)]
+        for child_tag, child_path, child_place, items in children:
+            lists = [(child_path, child_place, items)]
             while lists:
-                p, xs = lists.pop()
+                p, q, xs = lists.pop()
                 for i, x in enumerate(xs):
-                    sub = f"{p}[{i}]"
                     if isinstance(x, list):
-                        lists.append((sub, x))
+                        lists.append((f"{p}[{i}]", f"{q}[{i}]", x))
                     else:
-                        below.append((child_tag, f"{rid}#{sub}", pk, sub, "object" if isinstance(x, dict) else "value", x))
+                        below.append((child_tag, f"{top}#{q}[{i}]", pk, f"{p}[{i}]", f"{q}[{i}]", "object" if isinstance(x, dict) else "value", x))
         todo.extend(reversed(below))
 
 

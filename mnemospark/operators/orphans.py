@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import month_of_ms, norm_key
 from ..session import cut
 
-#: The most keys that are taken as heavy, and the fewest references that one has.
-HEAVY_KEYS, HEAVY_FROM = 2000, 1000
+#: References that a key of one month must have to count as heavy.
+HEAVY_FROM = 1000
+#: Heavy keys that are broadcast at most; of more, each is dealt out over so many tasks.
+BROADCAST_KEYS, SALTS = 100_000, 64
 
 
 def references(df: DataFrame, source: str, field: str, record_key, target: str, at) -> DataFrame:
@@ -24,36 +26,39 @@ def references(df: DataFrame, source: str, field: str, record_key, target: str,
     return out.filter(F.col("ref_key") != "")
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, deleted: DataFrame, heavy_keys: int = HEAVY_KEYS, heavy_from: int = HEAVY_FROM) -> DataFrame:
+def find_orphans(refs: DataFrame, targets: DataFrame, deleted: DataFrame, heavy_from: int = HEAVY_FROM, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row for each orphan reference: (source_table, field_name, record_key, ref_key, period, reason), distinct.
 
     ``targets``: (target, id, created_at), any number of rows for an id, the earliest creation counts; ``deleted``:
     (target, id). Reasons: ``late`` (the target was created after the reference), ``deleted``, ``missing``. A reference
     without a time is never late; its period is ``unknown``. Rows with a null or blank key are no reference.
 
-    References are aggregated per key and period before anything is shuffled; keys are resolved once each. Of the keys
-    without a timely target, the ``heavy_keys`` with the most references, at least ``heavy_from`` each, are broadcast; the
-    rest are joined by a shuffle in which no key is hot.
+    References are aggregated per key and period before anything is shuffled, and each key and period is resolved once.
+    What has no timely target is joined with the references again: keys with at least ``heavy_from`` in a period are
+    broadcast if there are at most ``broadcast_keys``, which is counted, else dealt out; the rest are joined by a shuffle,
+    in which none is hot.
     """
-    per_key = refs.groupBy("target", "ref_key", month_of_ms(F.col("ref_at")).alias("period")).agg(F.count("*").alias("n"), F.min("ref_at").alias("first_at"))
-    per_key = per_key.groupBy("target", "ref_key").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+    refs = refs.withColumn("period", month_of_ms(F.col("ref_at")))
+    per_key = refs.groupBy("target", "ref_key", "period").agg(F.count("*").alias("n"), F.min("ref_at").alias("first_at"))
     there = targets.groupBy("target", F.col("id").alias("ref_key")).agg(F.lit(True).alias("there"), F.min("created_at").alias("made_at"))
     gone = deleted.select("target", F.col("id").alias("ref_key")).distinct().withColumn("gone", F.lit(True))
     resolved = per_key.join(there, ["target", "ref_key"], "left").join(gone, ["target", "ref_key"], "left")
     suspect = cut(
         resolved.filter(F.col("there").isNull() | (F.col("made_at") > F.col("first_at")))
-        .select("target", "ref_key", "n", "there", "made_at", "gone")
-    )
-    heavy = suspect.filter(F.col("n") >= heavy_from).orderBy(F.desc("n"), "target", "ref_key").limit(heavy_keys)
-    light = suspect.join(F.broadcast(heavy.select("target", "ref_key")), ["target", "ref_key"], "left_anti")
-    on = ["target", "ref_key"]
-    found = (
-        refs.join(F.broadcast(heavy), on)
-        .unionByName(refs.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
+        .select("target", "ref_key", "period", "n", "there", "made_at", "gone")
     )
+    on = ["target", "ref_key", "period"]
+    heavy, light = suspect.filter(F.col("n") >= heavy_from), suspect.filter(F.col("n") < heavy_from)
+    if heavy.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        heavy = F.broadcast(heavy)
+        found = refs.join(heavy, on).unionByName(refs.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
+    else:
+        every = suspect.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= heavy_from, SALTS - 1).otherwise(0)))).withColumn("_deal", F.col("n") >= heavy_from)
+        dealt = refs.withColumn("_salt", F.pmod(F.xxhash64("record_key", "ref_at"), F.lit(SALTS)).cast("int"))
+        found = dealt.join(every.filter("_deal"), [*on, "_salt"]).drop("_deal", "_salt").unionByName(refs.join(light, on))
     reason = F.when(F.col("there") & (F.col("made_at") > F.col("ref_at")), "late").when(F.col("there").isNull() & F.col("gone"), "deleted").when(F.col("there").isNull(), "missing")
     return (
-        found.select("source_table", "field_name", "record_key", "ref_key", month_of_ms(F.col("ref_at")).alias("period"), reason.alias("reason"))
+        found.select("source_table", "field_name", "record_key", "ref_key", "period", reason.alias("reason"))
         .filter(F.col("reason").isNotNull()).distinct()
     )
 

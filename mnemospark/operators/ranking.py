@@ -58,3 +58,11 @@ def spread_best_before(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     own = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = _with_parts_before(part.withColumn("_n", best(value).over(own)), part, keys, best(value), best)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], either("_n", "_before").alias(name))
+
+
+def spread_sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over the rows of the key that come earlier, 0 for the first; spread like row numbers."""
+    part = _parts(df, keys, order)
+    own = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = _with_parts_before(part.withColumn("_n", F.sum(value).over(own)), part, keys, F.sum(value), F.sum)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce("_n", F.lit(0)) + F.coalesce("_before", F.lit(0))).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from .ranking import spread_best_before
+from .ranking import spread_best_before, spread_sum_before
 
 MASK = 0xFFFF
 
@@ -121,9 +121,27 @@ def merge_counts(local: DataFrame, remote: DataFrame, strategy: str = "lww") ->
 def sync_status(log: DataFrame, peers: DataFrame) -> DataFrame:
     """(peer_id, endpoint, last_synced_hlc, ops_pending) of each peer.
 
-    The log is reduced to its count for each time first; peers are few, but joined without a limit on their number.
+    Operations and the peers' marks are put in one order, and each mark gets the number of operations before it from a
+    running sum over range partitions; nothing is paired, and neither side is broadcast.
     """
-    times = log.groupBy("hlc_ts").agg(F.count("*").alias("n"))
-    joined = peers.join(times, F.col("hlc_ts") > F.col("last_synced_hlc"), "left")
-    rows = joined.groupBy("peer_id").agg(F.first("endpoint").alias("endpoint"), F.first("last_synced_hlc").alias("last_synced_hlc"), F.coalesce(F.sum("n"), F.lit(0)).alias("ops_pending"))
-    return rows.orderBy("peer_id")
+    marks = peers.select(F.coalesce("last_synced_hlc", F.lit(-(2**63))).alias("hlc_ts")).distinct().withColumn("n", F.lit(0).cast("long"))
+    rows = log.filter("hlc_ts IS NOT NULL").select("hlc_ts", F.lit(1).cast("long").alias("n")).unionByName(marks)
+    upto = spread_sum_before(rows, [], [F.col("hlc_ts"), F.desc("n")], "n", "upto").filter("n = 0").select("hlc_ts", "upto")
+    total = log.agg(F.count("hlc_ts").alias("total"))
+    one = peers.groupBy("peer_id").agg(F.first("endpoint").alias("endpoint"), F.first("last_synced_hlc").alias("last_synced_hlc"))
+    out = one.join(upto, F.coalesce("last_synced_hlc", F.lit(-(2**63))) == F.col("hlc_ts"), "left").crossJoin(F.broadcast(total))  # one row
+    pending = F.when(F.col("last_synced_hlc").isNull(), F.lit(0)).otherwise(F.col("total") - F.coalesce("upto", F.lit(0)))
+    return out.select("peer_id", "endpoint", "last_synced_hlc", pending.alias("ops_pending")).orderBy("peer_id")
+
+
+def merge_into_log(log: DataFrame, remote: DataFrame, strategy: str = "lww") -> DataFrame:
+    """The log after taking in remote operations: of the records that they meet, the operation that lost gives way to the one that won.
+
+    All other operations stay, those of records that no remote one meets and earlier ones of those that are met.
+    """
+    met = remote.select("table_name", "record_id").distinct()
+    mine = log.join(met, ["table_name", "record_id"], "left_semi")
+    won = merge_ops(mine, remote, strategy).join(mine.select("op_id"), "op_id", "left_anti")
+    compared = merge_ops(mine, mine.limit(0), strategy).select("table_name", "record_id", "op_id")
+    lost = compared.join(won.select("table_name", "record_id"), ["table_name", "record_id"], "left_semi").select("op_id")
+    return log.join(lost, "op_id", "left_anti").select(*won.columns).unionByName(won)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import DimensionMismatch, InvalidArgument
 from ..functions.distance import METRICS, distance, distances, vector_literal
-from ..session import cut
+from ..session import cut, scratch
 from .filters import compile_filter, metadata_variant
 
 #: A filtered search in ``overfetch`` mode looks at so many times k rows, at least so many.
@@ -118,15 +118,32 @@ def _directions(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
+def _nearest_list(vec: pa.Array, centres: np.ndarray, metric: str) -> np.ndarray:
+    """The nearest centre of each vector of an Arrow list array; vectors of another length go to list 0."""
+    n, dim = len(vec), centres.shape[1]
+    own = np.zeros(n, np.int32)
+    lengths, starts, flat = vec.value_lengths().fill_null(-1).to_numpy(), vec.offsets.to_numpy(), vec.values.to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == dim)
+    for at in range(0, len(rows), 4096):
+        part = rows[at : at + 4096]
+        x = flat[starts[part][:, None] + np.arange(dim)].astype(np.float64)
+        own[part] = distances(_directions(x, metric), centres, "euclidean").argmin(1)
+    return own
+
+
 class ListIndex:
     """Approximate search: rows in lists by their nearest centre; a query looks into the ``probes`` nearest lists.
 
-    Centres are fitted by k-means on at most ``fit_rows`` rows; every row is indexed. Write :attr:`rows` partitioned by
-    ``list`` and a search reads the probed folders only.
+    Centres are fitted by k-means on at most ``fit_rows`` rows; every row is indexed. Rows are written to ``path`` (a new
+    folder below the shared one unless given), partitioned by list, so a search reads the probed folders only. An index is
+    opened again by :meth:`open`. :meth:`add` and :meth:`remove` append: with each row goes a mark to a list of its own,
+    and of an id only the row of its last mark counts, so nothing is rewritten until the index is built anew.
     """
 
-    def __init__(self, df: DataFrame, lists: int = 64, metric: str = "cosine", fit_rows: int = 20_000, rounds: int = 8, seed: int = 3):
-        self.metric = metric
+    MARKS = -1
+
+    def __init__(self, df: DataFrame, lists: int = 64, metric: str = "cosine", fit_rows: int = 20_000, rounds: int = 8, seed: int = 3, path: str | None = None):
+        self.spark, self.metric = df.sparkSession, metric
         usable = df.filter("id IS NOT NULL AND vector IS NOT NULL")
         n = usable.count()
         part = usable if n <= fit_rows else usable.sample(min(1.0, 1.2 * fit_rows / n), seed)
@@ -138,23 +155,89 @@ class ListIndex:
             for c in range(len(centres)):
                 if (own == c).any():
                     centres[c] = x[own == c].mean(0)
-        self.centres = centres
-        schema = T.StructType([*usable.schema.fields, T.StructField("list", T.IntegerType())])
-        at = usable.columns.index("vector")
+        self.centres, self.path = centres, path or scratch(self.spark, "lists")
+        self.spark.createDataFrame([(i, [float(v) for v in c], metric) for i, c in enumerate(centres)], "list int, centre array<double>, metric string").coalesce(1).write.parquet(f"{self.path}/centres")
+        self._write(usable, 0)
+
+    @classmethod
+    def open(cls, spark, path: str) -> "ListIndex":
+        """The index that was written to ``path``."""
+        out = cls.__new__(cls)
+        rows = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # one row for each list
+        out.spark, out.path, out.metric, out.centres = spark, path, rows[0]["metric"], np.array([r["centre"] for r in rows])
+        return out
+
+    def _write(self, usable: DataFrame, seq: int) -> None:
+        if "metadata" not in usable.columns:
+            usable = usable.withColumn("metadata", F.lit(None).cast("string"))
+        rows = usable.select("id", F.col("vector").cast("array<float>").alias("vector"), F.col("metadata").cast("string").alias("metadata"))
+        schema, centres, metric = T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType())]), self.centres, self.metric
 
         def assign(batches):
             for b in batches:
                 if b.num_rows:
-                    v = np.array(b.column(at).to_pylist(), float)
-                    own = distances(_directions(v, metric), centres, "euclidean").argmin(1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "list"])
-
-        self.rows = cut(usable.mapInArrow(assign, schema))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_nearest_list(b.column("vector"), centres, metric))], names=[*b.schema.names, "list"])
+
+        listed = rows.mapInArrow(assign, schema).withColumn("seq", F.lit(seq).cast("long"))
+        if not seq:
+            listed.repartition("list").write.mode("append").partitionBy("list").parquet(f"{self.path}/rows")
+            return
+        listed = cut(listed)
+        marks = listed.withColumn("list", F.lit(self.MARKS)).withColumn("vector", F.lit(None).cast("array<float>")).withColumn("metadata", F.lit(None).cast("string"))
+        listed.unionByName(marks).repartition("list").write.mode("append").partitionBy("list").parquet(f"{self.path}/rows")
+
+    def add(self, df: DataFrame, seq: int) -> None:
+        """Insert or replace the rows of ``df``; ``seq`` is above that of every call before."""
+        self._write(df.filter("id IS NOT NULL AND vector IS NOT NULL"), seq)
+
+    def remove(self, ids: DataFrame, seq: int) -> None:
+        """Leave the ids of ``ids`` (id) out from now on."""
+        kind = self.rows.schema["id"].dataType
+        ids.select(F.col("id").cast(kind).alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("metadata"), F.lit(seq).cast("long").alias("seq"), F.lit(self.MARKS).alias("list")).write.mode("append").partitionBy("list").parquet(f"{self.path}/rows")
+
+    @property
+    def rows(self) -> DataFrame:
+        """What is written: (id, vector, metadata, seq, list)."""
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def probed(self, query: Sequence[float], probes: int) -> DataFrame:
+        """The rows of the ``probes`` lists nearest to the query, the valid ones."""
+        near = distances(_directions(np.array([query], float), self.metric), self.centres, "dot" if self.metric == "dot" else "euclidean")[0].argsort()[:probes]
+        rows = self.rows
+        here = rows.filter(F.col("list").isin([int(c) for c in near])).drop("list")
+        marks = rows.filter(F.col("list") == self.MARKS).groupBy("id").agg(F.max("seq").alias("_last"))
+        return here.join(marks, "id", "left").filter("seq = coalesce(_last, 0)").drop("_last", "seq")
 
-    def search(self, query: Sequence[float], k: int = 10, probes: int = 8) -> DataFrame:
+    def search(self, query: Sequence[float], k: int = 10, probes: int = 8, filter: dict | None = None) -> DataFrame:
         """(id, score, metadata) of the k nearest rows in the probed lists."""
-        near = distances(_directions(np.array([query], float), self.metric), self.centres, "dot" if self.metric == "dot" else "euclidean")[0].argsort()[:probes]
-        return vector_search(self.rows.filter(F.col("list").isin([int(c) for c in near])), query, k, self.metric)
+        return vector_search(self.probed(query, probes), query, k, self.metric, filter)
+
+    def knn_join(self, queries: DataFrame, k: int = 10, probes: int = 8, include_self: bool = False) -> DataFrame:
+        """(query_id, id, score, rank): for each row (id, vector) the k nearest rows of its ``probes`` nearest lists.
+
+        A query goes to its lists by a join on the list, so neither side passes through the driver or is held by a task.
+        """
+        centres, metric = self.centres, self.metric
+
+        def lists(batches):
+            for b in batches:
+                if b.num_rows:
+                    x = _directions(np.array(b.column("vector").to_pylist(), float), metric)
+                    near = distances(x, centres, "dot" if metric == "dot" else "euclidean").argsort(1)[:, :probes].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), near.ravel())], names=[*b.schema.names, "lists"])
+
+        dim = centres.shape[1]
+        asked = queries.filter("id IS NOT NULL AND vector IS NOT NULL").select("id", F.col("vector").cast("array<float>").alias("vector")).filter(F.size("vector") == dim)
+        asked = asked.mapInArrow(lists, T.StructType([*asked.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))]))
+        asked = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("_q"), F.explode("lists").alias("list"))
+        rows = self.rows
+        marks = rows.filter(F.col("list") == self.MARKS).groupBy("id").agg(F.max("seq").alias("_last"))
+        base = rows.filter(F.col("list") >= 0).join(marks, "id", "left").filter("seq = coalesce(_last, 0)").select("id", "vector", "list")
+        both = asked.join(base, "list")
+        both = both if include_self else both.filter(F.col("query_id") != F.col("id"))
+        scored = both.select("query_id", "id", distance(F.col("vector"), F.col("_q"), metric).alias("score")).filter("score IS NOT NULL")
+        w = Window.partitionBy("query_id").orderBy("score", "id")
+        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str] = ("id",), order: Column | None = None) -> DataFrame:

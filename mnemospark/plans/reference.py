@@ -289,7 +289,7 @@ def conv_list(spark: SparkSession, d: str) -> DataFrame:
 def conv_transcript(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts, by their length and digest."""
     t = memory.transcript(_messages(spark, d))
-    return t.select("conversation_id", F.length("transcript").alias("chars"), F.md5("transcript").alias("digest"))
+    return t.select("conversation_id", "part", F.length("transcript").alias("chars"), F.md5("transcript").alias("digest"))
 
 
 @query

@@ -139,7 +139,7 @@ def _sync(direction: str) -> str:
 ORACLES |= {
     "conv_last_n": f"WITH {_M}, b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) <= 5) SELECT conversation_id, id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id)::INTEGER AS position FROM b",
     "conv_list": f"WITH {_M} SELECT conversation_id, count(*) AS messages, min(created_at) AS created_at, max(created_at) AS updated_at FROM m GROUP BY conversation_id",
-    "conv_transcript": f"WITH {_M}, l AS (SELECT conversation_id, string_agg(CASE WHEN lower(role) IN ('ai', 'assistant', 'system') THEN 'AI' ELSE 'Human' END || ': ' || coalesce(content, ''), chr(10) ORDER BY created_at, id) AS t FROM m GROUP BY conversation_id) SELECT conversation_id, length(t)::INTEGER AS chars, md5(t) AS digest FROM l",
+    "conv_transcript": f"WITH {_M}, o AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS n FROM m), l AS (SELECT conversation_id, n // 1000 AS part, string_agg(CASE WHEN lower(role) IN ('ai', 'assistant', 'system') THEN 'AI' ELSE 'Human' END || ': ' || coalesce(content, ''), chr(10) ORDER BY n) AS t FROM o GROUP BY ALL) SELECT conversation_id, part, length(t)::INTEGER AS chars, md5(t) AS digest FROM l",
     "conv_message_at": f"WITH {_M} SELECT conversation_id, id FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) = 2",
     "workflow_list_counts": _workflows("true"),
     "workflow_by_status": _workflows("status = 'completed'"),

@@ -57,10 +57,38 @@ class Collection:
             self.upsert(id, vec, metadata)
             self.engine.index_text(self.name, id, text)
 
-    def search(self, query: Sequence[float], top_k: int = 10, filter: dict | None = None, mode: str = "prefilter") -> DataFrame:
-        """Nearest vectors by the collection's metric."""
+    def search(self, query: Sequence[float], top_k: int = 10, filter: dict | None = None, mode: str = "prefilter", probes: int = 8) -> DataFrame:
+        """Nearest vectors by the collection's metric: exact (``prefilter``, ``overfetch``), or ``approx``, in ``probes`` lists of the index."""
+        if mode == "approx":
+            if len(query) != self.dim:
+                raise DimensionMismatch(self.dim, len(query))
+            return self.ensure_index().search(query, top_k, probes, filter)
         return vector.vector_search(self.rows(), query, top_k, self.metric, filter, mode, self.dim)
 
+    def _index_path(self) -> str:
+        return f"{self.engine.store.root}/indexes/{self.id}"
+
+    def ensure_index(self) -> vector.ListIndex:
+        """The collection's index in its present state: built if there is none, brought up to date from what was written since.
+
+        What was written is taken from the new files of the change log; if the log was compacted, the index is built anew.
+        """
+        store = self.engine.store
+        files = store.manifest()["tables"].get("vectors", [])
+        state = store.note(f"{self._index_path()}/state.json")
+        if state is None or state["files"] != files[: len(state["files"])]:
+            return self.reindex()
+        index = vector.ListIndex.open(store.spark, state["path"])
+        new = files[len(state["files"]) :]
+        if new:
+            log = store.log("vectors", new).filter(F.col("collection_id") == self.id)
+            last = log.groupBy("id").agg(F.max_by(F.struct("_op", "vector", "metadata"), "_seq").alias("r")).select("id", "r.*")
+            seq = state["seq"] + 1
+            index.add(last.filter("_op = 'put'"), seq)
+            index.remove(last.filter("_op = 'delete'"), seq)
+            store.note(f"{self._index_path()}/state.json", {"path": state["path"], "files": files, "seq": seq})
+        return index
+
     def delete(self, id: str) -> None:
         """Delete a vector; an unknown id is no error, its text stays."""
         self.engine.store.delete("vectors", self.engine.store.spark.createDataFrame([(id, self.id)], "id string, collection_id string"))
@@ -80,8 +108,12 @@ class Collection:
         return self.rows().count()
 
     def reindex(self, lists: int = 64) -> vector.ListIndex:
-        """A new inverted-list index for approximate search."""
-        return vector.ListIndex(self.rows(), lists, self.metric)
+        """Build the inverted-list index for approximate search anew; it is kept beside the store's tables."""
+        store = self.engine.store
+        path = f"{self._index_path()}/{_id()[:8]}"
+        index = vector.ListIndex(self.rows(), lists, self.metric, path=path)
+        store.note(f"{self._index_path()}/state.json", {"path": path, "files": store.manifest()["tables"].get("vectors", []), "seq": 0})
+        return index
 
 
 class Engine:
@@ -199,7 +231,7 @@ class Engine:
             raise EdgeNotFound(f"{src} -{relation}-> {dst}")
         self.store.delete("edges", self._keys("edges", src=src, dst=dst, relation=relation))
 
-    def neighbors(self, start: str, max_depth: int = 2, min_weight: float | None = None, relation: str | None = None, mode: str = "paths") -> DataFrame:
+    def neighbors(self, start: str, max_depth: int = 2, min_weight: float | None = None, relation: str | None = None, mode: str = "exact") -> DataFrame:
         """What a node reaches."""
         return graph.neighbors(self.store.read("nodes"), self.store.read("edges"), start, max_depth, min_weight, relation, mode)
 
@@ -469,7 +501,7 @@ class Engine:
         out = sync.merge_counts(log, ops, self.strategy).first().asDict()
         if (top := ops.agg(F.max("hlc_ts")).first()[0]) is not None:
             self.clock.update(top)
-        self.store.rewrite("sync_log", sync.merge_ops(log, ops, self.strategy))
+        self.store.rewrite("sync_log", sync.merge_into_log(log, ops, self.strategy))
         return out
 
     def set_strategy(self, strategy: str) -> None:

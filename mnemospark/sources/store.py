@@ -64,13 +64,13 @@ class Store:
             stream.close()
 
     def _publish(self, manifest: dict) -> None:
-        name = f"{self.root}/manifests/{manifest['version']:09d}"
-        out = self._fs.create(self._path(f"{name}.tmp"), True)
+        name, own = f"{self.root}/manifests/{manifest['version']:09d}", uuid.uuid4().hex[:8]
+        out = self._fs.create(self._path(f"{name}.{own}.tmp"), True)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        if not self._fs.rename(self._path(f"{name}.tmp"), self._path(f"{name}.json")):
+        if not self._fs.rename(self._path(f"{name}.{own}.tmp"), self._path(f"{name}.json")):
             raise Corruption(f"another writer made version {manifest['version']}")
 
     def check_version(self) -> None:
@@ -122,8 +122,7 @@ class Store:
         schema, files = self.schema(table), self.manifest()["tables"].get(table, [])
         if not files:
             return self.spark.createDataFrame([], schema)
-        full = T.StructType([*schema.fields, T.StructField("_seq", T.LongType()), T.StructField("_op", T.StringType())])
-        log = self.spark.read.schema(full).parquet(*files)
+        log = self.log(table, files)
         keys = KEYS.get(table)
         if not keys or table in APPEND_ONLY:
             return log.select(*schema.names)
@@ -132,6 +131,29 @@ class Store:
         rows = log.groupBy(*keys).agg(best).filter("_r._op = 'put'")
         return rows.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in schema.names])
 
+    def log(self, table: str, files: Sequence[str]) -> DataFrame:
+        """Rows of some files of a table's change log, with ``_seq`` and ``_op``."""
+        full = T.StructType([*self.schema(table).fields, T.StructField("_seq", T.LongType()), T.StructField("_op", T.StringType())])
+        return self.spark.read.schema(full).parquet(*files)
+
+    def note(self, path: str, value: dict | None = None) -> dict | None:
+        """Read a small JSON file below the store, null if there is none, or write one in its place."""
+        at = self._path(path)
+        if value is not None:
+            out = self._fs.create(at, True)
+            try:
+                out.write(bytearray(json.dumps(value).encode()))
+            finally:
+                out.close()
+            return value
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def views(self) -> None:
         """Make a temporary view of every table, for SQL."""
         for t in self.tables():

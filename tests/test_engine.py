@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemospark import schemas
 from mnemospark.errors import CollectionNotFound, DimensionMismatch, EdgeNotFound, InvalidArgument, NodeNotFound, SchemaMigration, SqlError
-from mnemospark.plans.sql import json_rows, run, shim, split_statements
+from mnemospark.plans.sql import bind, json_rows, run, shim, split_statements, split_top
 from mnemospark.sources.engine import Engine
 from mnemospark.sources.service import Dispatcher
 from mnemospark.sources.store import Store, sql_dump
@@ -196,7 +196,12 @@ def test_sql(engine):
 def test_json_rows(spark):
     df = spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b, CAST('xyz' AS BINARY) AS c, double('NaN') AS d, 2 AS a")
     assert json.loads(json_rows(df).first()["row"]) == {"a": 2, "b": None, "c": "<blob 3 bytes>", "d": None}
-    assert shim("SELECT IFNULL(a, 'b') FROM t WHERE x = ?1") == "SELECT coalesce(a, 'b') FROM t WHERE x = ?"
+    assert shim("SELECT IFNULL(a, 'b') FROM t WHERE x = ?1") == "SELECT coalesce(a, 'b') FROM t WHERE x = ?1"
+    assert bind("a = ?2 AND b = ? AND c = '?' AND d = ?1", [5, 6, 7]) == ("a = :_p2 AND b = :_p3 AND c = '?' AND d = :_p1", {"_p1": 5, "_p2": 6, "_p3": 7})
+    with pytest.raises(SqlError):
+        bind("?3", [1])
+    assert split_top("a = f(1, 2), b = 'x, y', c = 3", ",") == ["a = f(1, 2)", " b = 'x, y'", " c = 3"]
+    assert split_top("SET a = 'w where x' WHERE b = (SELECT 1 WHERE true)", "WHERE") == ["SET a = 'w where x' ", " b = (SELECT 1 WHERE true)"]
     assert split_statements("a; 'b;c' -- d;\n; e") == ["a", "'b;c'", "e"]
 
 
@@ -275,3 +280,72 @@ def test_dispatcher(engine):
     assert ask("prompts/get", name="p", arguments={"x": "you"})["result"]["messages"][0]["content"]["text"] == "Hi you"
     assert json.loads(ask("resources/read", uri="mnemospark://stats")["result"]["contents"][0]["text"])["vectors"] == 1
     assert engine.store.read("vectors").filter(F.col("id") == "a").count() == 1
+
+
+def test_numbered_parameters_and_updates(engine):
+    engine.execute("CREATE TABLE kv (key TEXT PRIMARY KEY, val TEXT, n INTEGER)")
+    assert engine.execute("INSERT INTO kv (val, key) VALUES (?2, ?1)", ["k1", "seven"]) == 1
+    assert engine.execute("INSERT INTO kv VALUES (?1, ?1, ?2)", ["k2", 4]) == 1
+    assert engine.execute("UPDATE kv SET val = ?1 WHERE key = ?2", ["kept where it was, set = 5", "k1"]) == 1
+    assert engine.execute("UPDATE kv SET n = 5, val = 'z' WHERE key = 'k2' AND val <> ' where '") == 1
+    assert {tuple(r) for r in engine.query("SELECT * FROM kv").collect()} == {("k1", "kept where it was, set = 5", None), ("k2", "z", 5)}
+    with pytest.raises(SqlError):
+        engine.execute("INSERT INTO kv VALUES ('k1', 'again', 1)")
+    assert engine.execute("INSERT OR REPLACE INTO kv VALUES ('k1', 'new', 1)") == 1
+    assert engine.query("SELECT val FROM kv WHERE key = 'k1'").collect()[0][0] == "new"
+    with pytest.raises(SqlError):
+        engine.execute("INSERT INTO kv (key, nothing) VALUES ('a', 1)")
+
+
+def test_on_conflict(engine):
+    engine.execute("CREATE TABLE kv (key TEXT PRIMARY KEY, val TEXT, n INTEGER)")
+    engine.execute("INSERT INTO kv VALUES ('a', 'x', 1), ('b', 'y', 2)")
+    assert engine.execute("INSERT INTO kv VALUES ('a', 'new', 10), ('c', 'z', 3) ON CONFLICT (key) DO UPDATE SET val = excluded.val, n = n + excluded.n WHERE kv.n < 5") == 2
+    assert engine.execute("INSERT INTO kv VALUES ('a', 'no', 0) ON CONFLICT DO NOTHING") == 0
+    assert engine.execute("INSERT INTO kv VALUES ('a', 'no', 0) ON CONFLICT (key) DO UPDATE SET val = ?1 WHERE n < 0", ["never"]) == 0
+    assert {tuple(r) for r in engine.query("SELECT * FROM kv").collect()} == {("a", "new", 11), ("b", "y", 2), ("c", "z", 3)}
+    with pytest.raises(SqlError):
+        engine.execute("INSERT INTO kv VALUES ('q', '', 0), ('q', '', 1) ON CONFLICT (key) DO UPDATE SET n = 0")
+    engine.add_node("n1", "person", {"a": 1})
+    engine.execute("INSERT INTO nodes VALUES ('n1', 'city', NULL, 5, 6) ON CONFLICT (id) DO UPDATE SET kind = excluded.kind, data = coalesce(excluded.data, data)")
+    assert engine.get_node("n1")["kind"] == "city" and engine.get_node("n1")["data"] == '{"a": 1}'
+
+
+def test_pragma(engine):
+    assert [r["name"] for r in run(engine.store, "PRAGMA table_info(nodes)").collect()][:2] == ["id", "kind"]
+    assert run(engine.store, "PRAGMA integrity_check").first()[0] == "ok" and run(engine.store, "PRAGMA journal_mode = WAL").count() == 0
+
+
+def test_remote_operations_leave_others(engine):
+    """Only the operation that lost is replaced; what peers have not fetched stays."""
+    a, b = engine.record_mutation("t", "1", "insert", {"v": 1}), engine.record_mutation("t", "1", "update", {"v": 2})
+    c = engine.record_mutation("t", "2", "insert")
+    kind = "op_id string, hlc_ts long, node_id string, table_name string, record_id string, op_type string, payload string"
+    ops = engine.store.spark.createDataFrame([("r1", b + 5, "far", "t", "1", "update", "{}"), ("r2", 1, "far", "t", "2", "update", "{}"), ("r3", 7, "far", "t", "3", "insert", "{}")], kind)
+    assert engine.apply_remote_ops(ops) == {"applied": 2, "conflicts": 2, "skipped": 1}
+    log = {(r["record_id"], r["hlc_ts"], r["node_id"]) for r in engine.get_ops_since(0).collect()}
+    assert log == {("1", a, "local"), ("1", b + 5, "far"), ("2", c, "local"), ("3", 7, "far")}
+
+
+def test_approximate_search_follows_the_store(engine):
+    """The index is built once, then follows inserts, replacements and deletes, and is found again after opening."""
+    import random
+
+    r = random.Random(3)
+    c = engine.collection("ann", 4)
+    c.upsert_batch([(f"v{i}", [r.gauss(0, 1) for _ in range(4)], {"i": i}) for i in range(120)])
+    q = [1.0, 0.2, -0.3, 0.1]
+    ids = lambda **kw: [x["id"] for x in c.search(q, 5, **kw).collect()]
+    assert ids(mode="approx", probes=64) == ids()
+    assert len(set(ids(mode="approx", probes=16)) & set(ids())) >= 3
+    c.upsert("new", q)
+    c.delete(ids()[1])
+    c.upsert("v7", [-x for x in q])
+    assert ids(mode="approx", probes=64) == ids() and ids()[0] == "new"
+    assert ids(mode="approx", probes=64, filter={"i": {"$lt": 50}}) == ids(filter={"i": {"$lt": 50}})
+    other = Engine(Store(engine.store.spark, engine.store.root)).get_collection("ann")
+    assert [x["id"] for x in other.search(q, 5, mode="approx", probes=64).collect()] == ids()
+    engine.store.compact(["vectors"])
+    assert ids(mode="approx", probes=64) == ids()
+    with pytest.raises(DimensionMismatch):
+        c.search([1.0], mode="approx")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.operators.changes import BucketedTable, reduce_changes
-from mnemospark.operators.nested import _parse_deep, flatten_json, parse_json, read_table, store_json_rows, write_tables
+from mnemospark.operators.nested import _parse_deep, flatten_json, parse_json, read_table, store_json_rows, visit, write_tables
 from mnemospark.operators.orphans import count_orphans, find_orphans, references
 from mnemospark.operators.ranking import latest_rows, spread_row_number
 
@@ -97,9 +97,9 @@ def test_tables(spark, tmp_path):
     df = spark.createDataFrame(list(texts.items()), "id string, j string")
     write_tables(flatten_json(df, "w", F.col("id"), "j"), str(tmp_path / "t"))
     steps = read_table(spark, str(tmp_path / "t"), "w.steps", T.StructType([T.StructField("n", T.IntegerType())])).orderBy("path").collect()
-    assert [(r["data_n"], r["parent_pk"]) for r in steps] == [(1, "a"), (2, "a")]
+    assert [(r["data_n"], r["parent_pk"]) for r in steps] == [(1, "w=a"), (2, "w=a")]
     tools = read_table(spark, str(tmp_path / "t"), "w.steps.tools", T.StructType([T.StructField("t", T.StringType()), T.StructField("value", T.IntegerType())])).orderBy("path").collect()
-    assert [(r["data_t"], r["data_value"], r["parent_pk"]) for r in tools] == [("p", None, "a#$.steps[0]"), (None, 5, "a#$.steps[0]")]
+    assert [(r["data_t"], r["data_value"], r["parent_pk"]) for r in tools] == [("p", None, "w=a#$.steps[0]"), (None, 5, "w=a#$.steps[0]")]
     root = read_table(spark, str(tmp_path / "t"), "w", T.StructType([T.StructField("name", T.StringType()), T.StructField("o.p.q", T.IntegerType())])).first()
     assert root["data_o.p.q"] == 7
 
@@ -289,3 +289,22 @@ def test_rows_query_reads_the_written_tables(spark, tmp_path):
     got = {(r["tag"], r["kind"]): (r["n"], r["filled"]) for r in problems.p4_rows(spark, str(tmp_path)).collect()}
     assert {k: n for k, (n, _) in got.items()} == want
     assert sum(f for (tag, _), (_, f) in got.items() if tag == "adb_vectors") == 2 and sum(f for (tag, _), (_, f) in got.items() if tag == "adb_vectors.b") == 2
+
+
+def test_names_and_keys_never_meet():
+    """Dots, brackets and signs in JSON keys and ids are told apart from those that part names."""
+    rows = list(visit("t", "r", {"a": {"b": 1, "c": [{"x": 1}]}, "a.b": 2, "a.c": [{"x": 2}], "e": {}, "f": []}))
+    assert json.loads(rows[0][6]) == {"a.b": 1, "a\\.b": 2, "e": {}, "f": []}
+    keys = [r[2] for r in rows]
+    assert len(set(keys)) == len(keys) == 3 and {r[4] for r in rows[1:]} == {"$.a.c[0]"} and {r[0] for r in rows[1:]} == {"t.a.c", "t.a\\.c"}
+    both = [r for i in ("r", "r#$.a[0]", None, "") for r in visit("t", i, {"a": [{"b": 1}]})]
+    assert len({r[2] for r in both}) == len(both) and all(r[3] is None or r[3] in {x[2] for x in both} for r in both)
+
+
+def test_many_heavy_keys(spark):
+    """Beyond what is broadcast, heavy keys are dealt out; the result stays."""
+    refs = spark.range(4000).selectExpr("'s' source_table", "'f' field_name", "cast(id AS string) record_key", "concat('k', id % 40) ref_key", "1600000000000L + id * 86400000 ref_at", "'t' target")
+    targets = spark.sql("SELECT 't' target, concat('k', id) id, 1700000000000L created_at FROM range(10)")
+    gone = spark.sql("SELECT 't' target, concat('k', id) id FROM range(5, 20)")
+    want = {tuple(r) for r in find_orphans(refs, targets, gone).collect()}
+    assert len(want) > 2000 and {tuple(r) for r in find_orphans(refs, targets, gone, heavy_from=2, broadcast_keys=3).collect()} == want

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.errors import DimensionMismatch, InvalidArgument
 from mnemospark.functions.distance import distance, distances, vector_literal
-from mnemospark.operators import fulltext, graph, hybrid, vector
+from mnemospark.operators import fulltext, graph, hybrid, sync, vector
 from mnemospark.operators.filters import compile_filter, metadata_variant
 from mnemospark.operators.porter import stem
 
@@ -335,3 +335,22 @@ def test_single_hits(modal):
 
 def test_literal(spark):
     assert spark.range(1).select(vector_literal([1, 2.5]).alias("v")).first()["v"] == [1.0, 2.5]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_walk_against_enumeration(spark, seed):
+    """On random graphs with loops, parallel edges and a hub, to any depth."""
+    rng = random.Random(seed)
+    n = 9
+    rows = [(str(rng.randrange(n)), str(rng.randrange(n)), rng.choice("xy"), round(rng.uniform(-0.2, 1), 2)) for _ in range(22)] + [("0", str(i), "x", 0.1 * i) for i in range(1, n, 2)] + [(str(i), "0", "y", 0.9) for i in range(1, n, 3)]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string, weight double")
+    starts = spark.createDataFrame([(str(i),) for i in range(n)], "start string")
+    for depth in (1, 2, 4):
+        one, two = ({tuple(r) for r in graph.walk(edges, starts, depth, mode=m).collect()} for m in ("exact", "paths"))
+        assert one == two
+
+
+def test_pending_of_peers_by_one_order(spark):
+    log = spark.createDataFrame([(i // 3,) for i in range(30)], "hlc_ts long")
+    peers = spark.createDataFrame([("a", None, 0), ("b", "x", 4), ("c", None, 99), ("d", None, None), ("e", None, 4)], "peer_id string, endpoint string, last_synced_hlc long")
+    assert [r["ops_pending"] for r in sync.sync_status(log, peers).collect()] == [27, 15, 0, 0, 15]
