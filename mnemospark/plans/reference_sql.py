@@ -19,7 +19,6 @@ ORACLES |= {
     "vec_cosine_topk": _topk("cosine"),
     "vec_l2_topk": _topk("l2"),
     "vec_dot_topk": _topk("dot"),
-    "vec_ivf_search": _topk("cosine"),
     "vec_filtered_topk": _topk("cosine", "a.label IN (1, 3, 5)"),
     "vec_overfetch_filtered": f"WITH {_E}, near AS (SELECT a.id, a.label, {_COS} AS s FROM e a, (SELECT v FROM e WHERE id = 0) q ORDER BY s, a.id LIMIT 100) SELECT id, round(s, 6) AS score FROM near WHERE label = 4 ORDER BY s, id LIMIT 10",
     "vec_knn_join": f"WITH {_E}, s AS (SELECT q.id AS query_id, a.id, {_COS} AS s FROM e q JOIN e a ON a.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, id)::INTEGER AS rank FROM s) SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 5",
@@ -39,7 +38,7 @@ ORACLES |= {
     "filter_contains_regex": f"WITH {_NODES} SELECT id FROM m WHERE {_LABEL} AND contains(j ->> '$.label', 'o') AND regexp_matches(j ->> '$.label', '^[a-m].*n')",
     "filter_and_or_not": f"SELECT event_id FROM events WHERE {_K} > 5 AND {_K} <= 50 AND ({_K} = 6 OR {_K} >= 40)",
     "filter_dotted": f"WITH {_NODES} SELECT id FROM m WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.origin') = 'OBJECT' AND json_type(j, '$.origin.agent') = 'VARCHAR' AND j ->> '$.origin.agent' = 'graph layer'",
-    "filter_float_not_int": "SELECT event_id FROM events WHERE false",
+    "filter_float_not_int": "SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 0",
 }
 
 _G = """c AS (SELECT count(*) AS n FROM embeddings), g AS (
@@ -67,8 +66,8 @@ ORACLES |= {
     "graph_min_weight": _neighbors(3, least=0.3),
     "graph_negative": _neighbors(1, least=-1.0),
     "graph_bfs_depth": f"WITH RECURSIVE {_G}, {_walk(4)} SELECT id, depth FROM reach",
-    "graph_store_neighbors": f"WITH RECURSIVE {_EDGES}, {_walk(2, start='SELECT src AS s FROM g WHERE trim(src) <> chr(32) AND length(trim(src)) > 0 GROUP BY src ORDER BY count(*) DESC, src LIMIT 3')} SELECT start, id, depth, round(weight, 6) AS weight FROM reach",
     "graph_walk_all": f"WITH RECURSIVE {_G}, {_walk(2, start='SELECT vec_id::VARCHAR AS s FROM embeddings')} SELECT start, id, depth, round(weight, 6) AS weight FROM reach",
+    "graph_store_walk": f"WITH RECURSIVE {_EDGES}, {_walk(2, start='SELECT DISTINCT src AS s FROM g WHERE length(trim(src)) > 0')} SELECT start, id, depth, round(weight, 6) AS weight FROM reach",
     "graph_by_kind": "SELECT id, kind, created_at, updated_at FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, created_at DESC) = 1 AND kind = 'task'",
     "graph_stats": "SELECT (SELECT count(DISTINCT id) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst, relation FROM edges)) AS edges",
     "graph_valid_edges": "SELECT DISTINCT src, dst, relation FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)",

@@ -51,6 +51,19 @@ class Collection:
         self.engine.store.put("vectors", [{"id": i, "collection_id": self.id, "vector": [float(x) for x in e[1]], "metadata": _json(e[2] if len(e) > 2 else None), "created_at": known.get(i, t), "updated_at": t} for i, e in last.items()])
         return len(last) - len(known)
 
+    def upsert_frame(self, df: DataFrame) -> None:
+        """Insert or replace the rows (id, vector[, metadata]) of a frame of any size; of an id that stands twice any row counts.
+
+        Rows whose vector is null or of another length are refused before anything is written.
+        """
+        rows = df.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), (F.col("metadata").cast("string") if "metadata" in df.columns else F.lit(None).cast("string")).alias("metadata"))
+        wrong = rows.filter(F.coalesce(F.size("vector") != self.dim, F.lit(True))).select(F.size("vector")).limit(1).collect()
+        if wrong:
+            raise DimensionMismatch(self.dim, max(0, wrong[0][0] or 0))
+        t, known = now_ms(), self.rows().select("id", F.col("created_at").alias("_made"))
+        rows = rows.dropDuplicates(["id"]).join(known, "id", "left")
+        self.engine.store.put("vectors", rows.select("id", F.lit(self.id).alias("collection_id"), "vector", "metadata", F.coalesce("_made", F.lit(t)).alias("created_at"), F.lit(t).alias("updated_at")))
+
     def upsert_with_text(self, id: str, vec: Sequence[float], text: str, metadata=None) -> None:
         """A vector and its text, together or not at all."""
         with self.engine.store.transaction():
