@@ -20,6 +20,10 @@ WITH m AS (
 _P1 = f"{_ROWS} SELECT conversation_id FROM found"
 _P1_TURNS = f"{_ROWS} SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY moment, id) AS turn, role, content, id, moment AS created_at FROM kept WHERE c NOT IN (SELECT conversation_id FROM found)"
 
+# linked over replies, a conversation has the name of its least message; one of a single message has no link
+_P1_LINKED = f"""{_ROWS}, names AS (SELECT c, 'link:' || min(id) AS name FROM once GROUP BY c HAVING count(*) > 1), sizes AS (SELECT c, count(*) AS n FROM kept GROUP BY c)
+SELECT name AS conversation_id, coalesce(n, 0) AS turns, c IN (SELECT conversation_id FROM found) AS broken FROM names LEFT JOIN sizes USING (c)"""
+
 _P3 = """
 WITH newest AS (
   SELECT v.*, c.dim FROM adb_vectors v JOIN adb_collections c ON c.id = v.collection_id
@@ -38,6 +42,13 @@ WITH s AS (
 SELECT source FROM t WHERE size * max_repeats < target_share * (SELECT sum(size) FROM t)
 """
 
+_P9_BOUNDS = f"""
+WITH s AS (
+  SELECT lower({strip('source')}) AS source, sum(len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+'))) AS size FROM documents GROUP BY 1
+), t AS (SELECT m.source, target_share, max_repeats, coalesce(size, 0) AS size FROM mix_targets m LEFT JOIN s USING (source))
+SELECT source, size * max_repeats < target_share * (SELECT sum(size) FROM t) AS short, true AS repeats_kept, true AS size_kept FROM t
+"""
+
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _P8 = f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
@@ -65,4 +76,4 @@ _P10 = f"{_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b F
 _P10_SHARES = f"""{_WINDOWS}, c AS (SELECT doc_id, sum(least(400, coalesce(nxt - p, 400)))::BIGINT AS n FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM (SELECT DISTINCT doc_id, p FROM r)) GROUP BY doc_id)
 SELECT t.doc_id, length(text) AS chars, coalesce(n, 0) AS shared_chars, coalesce(n, 0) / length(text) AS share FROM t LEFT JOIN c ON c.doc_id = t.doc_id"""
 
-ORACLES: dict[str, str] = {"p1_found": _P1, "p1_turns": _P1_TURNS, "p3_found": _P3, "p8_found": _P8, "p8_covered": _P8_COVERED, "p9_found": _P9, "p10_found": _P10, "p10_shares": _P10_SHARES}
+ORACLES: dict[str, str] = {"p1_found": _P1, "p1_turns": _P1_TURNS, "p1_linked": _P1_LINKED, "p3_found": _P3, "p8_found": _P8, "p8_covered": _P8_COVERED, "p9_found": _P9, "p9_bounds": _P9_BOUNDS, "p10_found": _P10, "p10_shares": _P10_SHARES}

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
-from .conversations import judge_conversations, rebuild_conversations
+from ..operators.ranking import spread_row_number
+from ..session import cut, load
+from .conversations import judge_conversations, message_rows, rebuild_conversations
 from .leakage import find_leaks
-from .mixing import allocate, mix_report, mix_sources, sized_documents
+from .mixing import allocate, mix_report, mix_sources, sized_documents, token_count
 from .packing import CAPACITY, pack_sessions, place_pieces
 from .personal import personal_spans, replace_personal
 from .similar import VectorIndex
@@ -28,6 +29,21 @@ def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(load(spark, d, "messages"), adopt=False)
 
 
+def linked_messages(messages: DataFrame) -> DataFrame:
+    """The messages with no conversation, each naming the one before it in its conversation as what it replies to."""
+    rows = message_rows(messages, content=True).filter("conversation_id IS NOT NULL")
+    rows = spread_row_number(rows, ["conversation_id"], [F.col("at"), F.col("id")], "n")
+    before = rows.select("conversation_id", (F.col("n") + 1).alias("n"), F.col("id").alias("before"))
+    rows = rows.join(before, ["conversation_id", "n"], "left")
+    return rows.select("id", F.lit(None).cast("string").alias("conversation_id"), "role", "content", F.to_json(F.struct(F.col("before").alias("reply_to"))).alias("metadata"), F.col("at").alias("created_at"))
+
+
+def p1_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations found over reply links alone: the rows name no conversation, only what they reply to."""
+    status = judge_conversations(linked_messages(load(spark, d, "messages")))
+    return status.select("conversation_id", "turns", F.col("reason").isNotNull().alias("broken"))
+
+
 _PERSONAL = (("messages", "content"), ("context_entries", "content_preview"))
 
 
@@ -114,6 +130,28 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(plan, mix_sources(sized, plan))
 
 
+def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mix that was drawn keeps to its bounds: repeats, and size to 2 % of what is wanted and one largest document."""
+    sized = sized_documents(load(spark, d, "documents"))
+    plan = allocate(sized, load(spark, d, "mix_targets"))
+    got = mix_sources(sized, plan).groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("got"), F.max("repeats").alias("most"))
+    largest = sized.groupBy("source").agg(F.max("size").alias("largest"))
+    rows = plan.join(got, "source", "left").join(largest, "source", "left").na.fill(0, ["got", "most", "largest"])
+    want = F.when(F.col("short"), F.col("size") * F.col("max_repeats")).otherwise(F.col("want"))
+    return rows.select("source", "short", (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(F.col("got") - want) <= 0.02 * want + F.col("largest")).alias("size_kept"))
+
+
+#: A public tokenizer's file, at the same path on all machines.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def p9_mix(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The mix itself, documents sized in tokens of a public tokenizer: (doc_id, source, size, repeats)."""
+    documents = load(spark, d, "documents").select("doc_id", "source", "text")
+    sized = cut(sized_documents(token_count(documents, tokenizer), F.col("size")))
+    return mix_sources(sized, allocate(sized, load(spark, d, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share at least 400 successive characters."""
     return SharedSpans(load(spark, d, "documents").select("doc_id", "text"), 400).pairs()
@@ -125,5 +163,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_replaced, p3_found, p3_nearest, p3_top, p5_found, p5_open, p5_windows, p8_found, p8_covered, p9_found, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_turns, p1_linked, p2_found, p2_replaced, p3_found, p3_nearest, p3_top, p5_found, p5_open, p5_windows, p8_found, p8_covered, p9_found, p9_shares, p9_bounds, p9_mix, p10_found, p10_shares)
 }
