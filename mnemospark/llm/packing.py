@@ -29,6 +29,8 @@ STEPS = 400_000
 POOLS, POOL_STEPS = 400, 3_000
 #: Windows taken into a random pool beside the entries not placed.
 POOL_WINDOWS = (4, 8, 12, 16, 24, 32, 48)
+#: Windows of a pool that is packed by covering, steps of that search for a session, and of one try in turn.
+COVER_WINDOWS, COVER_STEPS, COVER_TRIES = 200, 1_500_000, (1_000, 10_000)
 
 Bins = Counter  # of tuples ((size, count), ...), largest size first
 
@@ -127,18 +129,19 @@ def exact_fill(sizes: Counter, capacity: int, waste: int, steps: list[int], deep
         sets = reach(items, room)
 
         def walk(i: int, need: int, chosen: tuple):
-            steps[0] -= 1
-            if steps[0] < 0:
-                return
+            # as deep as a window has different sizes; sizes that are left out are passed over in the loop
             if need == 0:
                 yield chosen
                 return
-            if i == len(items) or not sets[i] >> need & 1:
-                return
-            s, c = items[i]
-            for m in range(min(c, need // s), -1, -1):
-                if sets[i + 1] >> (need - s * m) & 1:
-                    yield from walk(i + 1, need - s * m, (*chosen, (s, m)) if m else chosen)
+            while i < len(items) and sets[i] >> need & 1:
+                steps[0] -= 1
+                if steps[0] < 0:
+                    return
+                s, c = items[i]
+                for m in range(min(c, need // s), 0, -1):
+                    if sets[i + 1] >> (need - s * m) & 1:
+                        yield from walk(i + 1, need - s * m, (*chosen, (s, m)))
+                i += 1
 
         for free in range(spare + 1):
             if room >= free and sets[0] >> (room - free) & 1:
@@ -191,12 +194,100 @@ def _items(windows: Bins) -> Counter:
     return items
 
 
-def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL_STEPS) -> Bins | None:
+def few_pieces(sizes: Counter, capacity: int) -> list[tuple]:
+    """Contents of a full window of at most three pieces."""
+    s, out = sorted(sizes), set()
+    for i, a in enumerate(s):
+        if a == capacity:
+            out.add(((a, 1),))
+        elif sizes.get(capacity - a) and capacity - a >= a:
+            out.add((capacity - a, a))
+        for b in s[i:]:
+            if capacity - a - b < b:
+                break
+            if sizes.get(capacity - a - b):
+                out.add((capacity - a - b, b, a))
+    out = {p if isinstance(p[0], tuple) else tuple(sorted(Counter(p).items(), reverse=True)) for p in out}
+    return sorted(p for p in out if all(sizes[x] >= n for x, n in p))
+
+
+def cover(sizes: Counter, patterns: list[tuple], draw: random.Random, limit: int) -> list[int] | None:
+    """Numbers of patterns that use up all entries, by depth-first search within ``limit`` steps; None if it found none.
+
+    The size that fewest patterns can still use comes next, and of these patterns first those whose sizes few others use.
+    """
+    left = dict(sizes)
+    by: dict[int, list[int]] = {s: [] for s in left}
+    for i, p in enumerate(patterns):
+        for s, _ in p:
+            by[s].append(i)
+    able, ways, chosen, steps = [True] * len(patterns), {s: len(v) for s, v in by.items()}, [], 0
+
+    def use(i: int) -> list[int]:
+        for s, n in patterns[i]:
+            left[s] -= n
+        gone = []
+        for s, _ in patterns[i]:
+            for j in by[s]:
+                if able[j] and any(left[t] < m for t, m in patterns[j]):
+                    able[j] = False
+                    gone.append(j)
+                    for t, _ in patterns[j]:
+                        ways[t] -= 1
+        return gone
+
+    def undo(i: int, gone: list[int]) -> None:
+        for j in gone:
+            able[j] = True
+            for t, _ in patterns[j]:
+                ways[t] += 1
+        for s, n in patterns[i]:
+            left[s] += n
+
+    def options() -> list[int] | None:
+        """Patterns for the next size, best last; None if nothing is left."""
+        best, fewest = None, 1 << 30
+        for s, n in left.items():
+            if n and ways[s] < fewest:
+                best, fewest = s, ways[s]
+                if fewest <= 1:
+                    break
+        if best is None:
+            return None
+        rank = {j: sum(1 / ways[s] for s, _ in patterns[j]) + 0.1 * draw.random() for j in by[best] if able[j]}
+        return sorted(rank, key=rank.get)
+
+    todo = options()
+    stack: list[list] = [] if todo is None else [[todo, None]]
+    while stack:
+        steps += 1
+        if steps > limit:
+            return None
+        tries, now = stack[-1]
+        if now is not None:
+            undo(*now)
+            chosen.pop()
+            stack[-1][1] = None
+        if not tries:
+            stack.pop()
+            continue
+        i = tries.pop()
+        stack[-1][1] = (i, use(i))
+        chosen.append(i)
+        below = options()
+        if below is None:
+            return chosen
+        stack.append([below, None])
+    return None
+
+
+def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL_STEPS, cover_steps: int = COVER_STEPS) -> Bins | None:
     """The entries of ``bins`` in one window less, by many small searches; None if none of ``pools`` gets there.
 
     The room left over becomes entries of one token, so all windows must be full. The entries of windows that aren't are
     pooled with some full windows drawn at random; if a search fills at least as many as were drawn, these are kept and
-    what it leaves goes into the next pool.
+    what it leaves goes into the next pool. What is left in the end, of few pieces a window, is pooled with so many full
+    windows that there are many ways to fill them all, and packed by covering.
     """
     full = Counter({p: k for p, k in bins.items() if _weight(p) == capacity})
     left = _items(bins - full)
@@ -215,6 +306,21 @@ def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL
         exact_fill(pool, capacity, 0, [pool_steps], found)
         if len(found) >= m:
             full, left = full - drawn + Counter(found), pool - _items(Counter(found))
+    steps, turn = cover_steps, 0
+    while left and steps > 0 and sum(left.values()) <= 3 * COVER_WINDOWS:
+        # pools of windows with few pieces are exchanged as a whole: all patterns that fill a window are covered with
+        m = min(sum(full.values()), max(0, COVER_WINDOWS - -(-sum(s * c for s, c in left.items()) // capacity)))
+        names = sorted(full)
+        drawn = Counter(draw.sample(names, m, counts=[full[p] for p in names]) if m else ())
+        pool = left + _items(drawn)
+        if sum(pool.values()) * capacity > 3 * sum(s * c for s, c in pool.items()):
+            break  # more than three pieces a window: the small searches below do better
+        limit = COVER_TRIES[turn % len(COVER_TRIES)]
+        patterns = few_pieces(pool, capacity)
+        turn, steps = turn + 1, steps - limit
+        found = cover(pool, patterns, draw, limit)
+        if found is not None:
+            full, left = full - drawn + Counter(patterns[i] for i in found), Counter()
     if left:
         return None
     out: Bins = Counter()

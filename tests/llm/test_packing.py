@@ -144,3 +144,18 @@ def test_pieces_hold_all_tokens(spark):
     for r in pack_sessions(frame(spark, rows)).collect():
         assert {w for s, w in load if s == r["session_id"]} == set(range(1, r["windows"] + 1))
     assert sorted((r["window"], r["tokens"]) for r in placed if r["id"] == "x") == [(1, 4096), (2, 4096)]
+
+
+def test_full_sessions_of_three_pieces():
+    """Sessions planted full with three entries a window, more than the searches for small pools settle; and many different sizes."""
+    for windows, seed in ((60, 0), (60, 1), (150, 1)):
+        r, items = random.Random(seed * 1000 + windows), []
+        for _ in range(windows):
+            a, b = sorted(r.sample(range(1, 4096), 2))
+            items += [a, b - a, 4096 - b]
+        bins, bound, certified = pack(dict(Counter(items)))
+        check(bins, items, 4096)
+        assert sum(bins.values()) == bound == windows and certified
+    items = [*range(1, 3000), 4096 - 2999]
+    bins, _, _ = pack(dict(Counter(items)), max_steps=2000)
+    check(bins, items, 4096)
