@@ -30,7 +30,7 @@ POOLS, POOL_STEPS = 400, 3_000
 #: Windows taken into a random pool beside the entries not placed.
 POOL_WINDOWS = (4, 8, 12, 16, 24, 32, 48)
 #: Windows of a pool that is packed by covering, steps of that search for a session, and of one try in turn.
-COVER_WINDOWS, COVER_STEPS, COVER_TRIES = 200, 1_500_000, (1_000, 10_000)
+COVER_WINDOWS, COVER_STEPS, COVER_TRIES = 200, 600_000, (1_000, 10_000)
 
 Bins = Counter  # of tuples ((size, count), ...), largest size first
 
