@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -23,6 +23,14 @@ def _min_max(df: DataFrame, value: str, out: str, least: float, invert: bool = F
     return df.crossJoin(F.broadcast(ends)).withColumn(out, 1 - x if invert else x).drop("_lo", "_hi")  # one row
 
 
+def _min_max_few(df: DataFrame, value: str, out: str, least: float, invert: bool = False) -> DataFrame:
+    """:func:`_min_max` for what a limit has left, by a window, so that it is made once."""
+    every = Window.partitionBy(F.lit(1))  # at most what was fetched
+    lo, hi = F.min(value).over(every), F.max(value).over(every)
+    x = (F.col(value) - lo) / F.greatest(hi - lo, F.lit(least))
+    return df.withColumn(out, 1 - x if invert else x)
+
+
 def _vector_channel(vectors: DataFrame, query: Sequence[float], k: int, metric: str, spec: dict | None) -> DataFrame:
     fetch = max(FETCH * k, FETCH_LEAST)
     if spec is None:
@@ -33,7 +41,7 @@ def _vector_channel(vectors: DataFrame, query: Sequence[float], k: int, metric:
         from .filters import compile_filter, metadata_variant
 
         found = found.filter(compile_filter(spec, metadata_variant(F.col("metadata")))).orderBy("score", "id").limit(fetch)
-    return _min_max(found, "score", "vec_sim", 1e-6, invert=True).select("id", "vec_sim", "metadata")
+    return _min_max_few(found, "score", "vec_sim", 1e-6, invert=True).select("id", "vec_sim", "metadata")
 
 
 def hybrid_query(vectors: DataFrame, edges: DataFrame, query: Sequence[float], anchor: str, alpha: float = 0.6, depth: int = 2, top_k: int = 10, metric: str = "cosine", filter: dict | None = None, mode: str = "exact") -> DataFrame:
@@ -71,7 +79,7 @@ def tri_modal_query(vectors: DataFrame | None, edges: DataFrame | None, index: T
     if gamma > 0 and text and index is not None:
         try:
             hits = index.search(text, fetch).select(F.col("doc_id").alias("id"), (-F.col("rank")).alias("w"))
-            t = _min_max(hits, "w", "text_score", 1e-9).select("id", "text_score")
+            t = _min_max_few(hits, "w", "text_score", 1e-9).select("id", "text_score")
         except InvalidArgument:
             pass
     rows = v.join(g, "id", "full").join(t, "id", "full")

@@ -19,10 +19,10 @@ from ..operators.filters import compile_filter, metadata_variant
 from ..operators.ranking import latest_rows
 from ..schemas import SCHEMAS, VERSION
 from ..session import cut, load, scratch
-from ..sources.adapters import ChatStore, TextVectorStore
+from ..sources.adapters import ChatHistory, ChatStore, TextVectorStore
 from ..sources.engine import Engine
 from ..sources.service import Dispatcher
-from ..sources.store import Store, sql_dump
+from ..sources.store import Store, create_statement, sql_dump
 from ..streaming.feed import apply_feed, file_stream
 from . import reference, reference_sql
 from .sql import run
@@ -176,6 +176,12 @@ def engine_counters(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([e.stats()], ", ".join(f"{c} long" for c in _COUNTS))
 
 
+@_add(_fixed([('CREATE TABLE IF NOT EXISTS "data_labels" ("table_name" TEXT NOT NULL, "record_id" TEXT NOT NULL, "label" TEXT NOT NULL, "tagged_by" TEXT, "tagged_at" INTEGER NOT NULL, PRIMARY KEY ("table_name", "record_id", "label"));',)], "statement"))
+def store_ddl(spark: SparkSession, d: str) -> DataFrame:
+    """A table's CREATE statement, as an export has it."""
+    return spark.createDataFrame([(create_statement(_engine(spark).store, "data_labels"),)], "statement string")
+
+
 # ---- SQL changes ----
 
 
@@ -398,6 +404,7 @@ def fts_engine_changes(spark: SparkSession, d: str) -> DataFrame:
     e.index_text("docs", "new", "nothing")
     e.index_text("docs", "new", "number 17 once more")
     e.store.compact(["texts"])
+    e.optimize_text("docs")
     return e.search_text("docs", "17", None).select("doc_id")
 
 
@@ -617,7 +624,7 @@ def service_calls(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "call string, answer string")
 
 
-@_add(_fixed([("nearest", "ccc"), ("after delete", "cc"), ("by document", "1"), ("chat", "user:hi"), ("chat", "assistant:ho"), ("removed", "ho")], "step", "result"))
+@_add(_fixed([("nearest", "ccc"), ("after delete", "cc"), ("by document", "1"), ("chat", "user:hi"), ("chat", "assistant:ho"), ("removed", "ho"), ("query", "cc 1.0"), ("history", "ai:yes")], "step", "result"))
 def adapter_calls(spark: SparkSession, d: str) -> DataFrame:
     """Text and chat stores as agent frameworks call them."""
     e = _engine(spark)
@@ -631,6 +638,13 @@ def adapter_calls(spark: SparkSession, d: str) -> DataFrame:
     chat.set_messages("k", [("user", "hi"), ("assistant", "ho")])
     rows += [("chat", f"{r}:{t}") for r, t in chat.get_messages("k")]
     rows.append(("removed", chat.delete_last_message("k")[1]))
+    found = texts.query([2.0, 1.0], 1)
+    rows.append(("query", f"{found['nodes'][0]['text']} {found['similarities'][0]}"))
+    history = ChatHistory(e, "s1")
+    history.add_message("human", "no")
+    history.clear()
+    history.add_message("ai", "yes")
+    rows += [("history", f"{m['type']}:{m['content']}") for m in history.messages]
     return spark.createDataFrame(rows, "step string, result string")
 
 

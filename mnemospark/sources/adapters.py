@@ -56,6 +56,12 @@ class TextVectorStore:
         """Texts of the k nearest."""
         return [t for t, _, _ in self.similarity_search_with_score(query, k, filter)]
 
+    def query(self, query_embedding: Sequence[float], similarity_top_k: int = 4, filters: dict | None = None) -> dict:
+        """{ids, nodes, similarities} of the nearest, where nodes are {text, metadata} and a similarity is 1 less the distance."""
+        found = self.engine.get_collection(self.name).search(query_embedding, similarity_top_k, filters).collect()
+        near = self.similarity_search_by_vector(query_embedding, similarity_top_k, filters)
+        return {"ids": [r["id"] for r in found], "nodes": [{"text": t, "metadata": m} for t, m, _ in near], "similarities": [1.0 - s for _, _, s in near]}
+
     def delete(self, ids: Iterable[str]) -> None:
         """Delete by id."""
         c = self.engine.get_collection(self.name)
@@ -115,5 +121,35 @@ class ChatStore:
 
     def transcript(self, key: str) -> str:
         """Lines of Human and AI."""
-        row = memory.transcript(self.engine.store.read("messages").filter(F.col("conversation_id") == key)).first()
-        return row["transcript"] if row else ""
+        rows = memory.transcript(self.engine.store.read("messages").filter(F.col("conversation_id") == key)).orderBy("part").collect()
+        return "\n".join(r["transcript"] for r in rows)
+
+
+# How frameworks call who speaks, and the roles that are stored.
+SPEAKERS = {"human": "user", "ai": "assistant", "system": "system", "tool": "tool"}
+
+
+class ChatHistory:
+    """The messages of one session as frameworks keep them: speakers instead of roles, the session as the title."""
+
+    def __init__(self, engine: Engine, session: str, title: str | None = None):
+        self.engine, self.session = engine, session
+        if engine._one("conversations", F.col("id") == session) is None:
+            engine.create_conversation(title or f"session {session}", id=session)
+
+    def add_message(self, speaker: str, content: str) -> None:
+        """Add what ``human``, ``ai``, ``system`` or ``tool`` said; other speakers are stored as they are."""
+        self.engine.add_message(self.session, SPEAKERS.get(speaker, speaker), content)
+
+    @property
+    def messages(self) -> list[dict]:
+        """{type, content} in order."""
+        names = {v: k for k, v in SPEAKERS.items()}
+        return [{"type": names.get(r["role"], r["role"]), "content": r["content"]} for r in self.engine.get_messages(self.session).collect()]
+
+    def clear(self) -> None:
+        """Delete the messages; the session stays."""
+        title = self.engine._one("conversations", F.col("id") == self.session)["title"]
+        with self.engine.store.transaction():
+            self.engine.delete_conversation(self.session)
+            self.engine.create_conversation(title, id=self.session)

@@ -202,10 +202,22 @@ class Engine:
         """Put a text in place of the id's last."""
         self.store.put("texts", [{"collection": collection, "id": id, "text": text}])
 
+    def _text_state(self, collection: str) -> str:
+        return f"{self.store.root}/indexes/text-{collection.encode().hex()}/state.json"
+
     def text_index(self, collection: str) -> fulltext.TextIndex:
-        """The index of a collection's texts."""
+        """The index of a collection's texts: the one that :meth:`optimize_text` saved if no text was written since, else one made for the search."""
+        state = self.store.note(self._text_state(collection))
+        if state is not None and state["files"] == self.store.manifest()["tables"].get("texts", []):
+            return fulltext.TextIndex.open(self.store.spark, state["path"])
         return fulltext.TextIndex(self.store.read("texts").filter(F.col("collection") == collection).select("id", "text"))
 
+    def optimize_text(self, collection: str) -> None:
+        """Save the index of a collection's texts, sorted by term, beside the store's tables; searches read the parts with their terms."""
+        path = self._text_state(collection).replace("state.json", _id()[:8])
+        fulltext.TextIndex(self.store.read("texts").filter(F.col("collection") == collection).select("id", "text")).save(path)
+        self.store.note(self._text_state(collection), {"path": path, "files": self.store.manifest()["tables"].get("texts", [])})
+
     def search_text(self, collection: str, query: str, top_k: int = 10) -> DataFrame:
         """(doc_id, rank, snippet), best first; a collection without texts finds nothing."""
         return self.text_index(collection).search(query, top_k, snippets=True)

@@ -7,9 +7,11 @@ import json
 import sys
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import __version__
 from ..errors import EngineError, InvalidArgument
+from ..operators import memory
 from .engine import Engine
 
 PARSE, METHOD, PARAMS, ENGINE, RESOURCE = -32700, -32601, -32602, -32000, -32002
@@ -120,7 +122,7 @@ class Dispatcher:
             "tool_list": lambda: _rows(e.list_tools()),
             "tool_log_call": lambda: {"id": e.log_tool_call(**a)},
             "audit_log": lambda: {"id": e.audit(**a)},
-            "audit_query_recent": lambda: _rows(e.store.read("audit_log").orderBy("timestamp", ascending=False).limit(a.get("limit", 100))),
+            "audit_query_recent": lambda: _rows(memory.audit_recent(e.store.read("audit_log"), a.get("limit", 100))),
             "context_add": lambda: {"id": e.add_context(**a)},
             "context_build_window": lambda: _rows(e.build_window(a["session_id"], a["max_tokens"])),
             "context_clear": lambda: e.clear_session(a["session_id"]),
@@ -141,15 +143,22 @@ class Dispatcher:
         return {"ok": True} if out is None else out
 
 
+def completions(shell: str, commands: list[str]) -> str:
+    """A line for a shell's start file that completes the commands."""
+    words = " ".join(commands)
+    return {"bash": f'complete -W "{words}" mnemospark', "zsh": f"compctl -k '({words})' mnemospark", "fish": f"complete -c mnemospark -f -a '{words}'"}[shell]
+
+
 def main(argv: list[str] | None = None) -> int:
     """The command line; ``python -m mnemospark --help`` lists the commands."""
     from ..plans.sql import run
     from ..session import get_spark
-    from .store import sql_dump
+    from .store import create_statement, sql_dump
 
     p = argparse.ArgumentParser(prog="mnemospark")
     p.add_argument("--root", help="the store's folder")
     sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("completions").add_argument("shell", choices=["bash", "zsh", "fish"])
     for name in ("version", "stats", "collections", "inspect", "migrate", "shell", "mcp"):
         sub.add_parser(name)
     sub.add_parser("sql").add_argument("text")
@@ -166,6 +175,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "version":
         print(__version__)
         return 0
+    if a.command == "completions":
+        print(completions(a.shell, sorted(sub.choices)))
+        return 0
     spark = get_spark("local[*]")
     if a.command == "migrate":
         from .store import Store
@@ -179,7 +191,7 @@ def main(argv: list[str] | None = None) -> int:
             e.list_collections().show(truncate=False)
         elif a.command == "inspect":
             print(json.dumps(e.stats()))
-            e.store.read("nodes").orderBy("created_at", ascending=False).limit(10).show(truncate=False)
+            e.store.read("nodes").orderBy(F.desc("created_at"), "id").limit(10).show(truncate=False)
         elif a.command == "search":
             v = json.loads(a.vector)
             e.collection(a.collection, len(v)).search(v, a.top_k).show(truncate=False)
@@ -189,7 +201,8 @@ def main(argv: list[str] | None = None) -> int:
             tables = [a.table] if a.table else None
             if a.format == "sql":
                 for t in tables or e.store.tables():
-                    sql_dump(e.store.read(t), t).write.mode("overwrite").text(f"{a.path}/{t}")
+                    ddl = spark.createDataFrame([(create_statement(e.store, t),)], "statement string")
+                    ddl.unionByName(sql_dump(e.store.read(t), t)).write.mode("overwrite").text(f"{a.path}/{t}")
             else:
                 e.store.export(a.path, a.format, tables)
         elif a.command in ("sql", "shell"):

@@ -273,6 +273,17 @@ class Store:
                     other.put(t, self.read(t))
 
 
+def create_statement(store: Store, table: str) -> str:
+    """CREATE TABLE with the columns and the key, in SQLite's type names."""
+    kinds = {"string": "TEXT", "bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "boolean": "INTEGER", "binary": "BLOB"}
+    keys = KEYS.get(table) or tuple(f.name for f in store.schema(table) if f.metadata.get("key"))
+    need = REQUIRED.get(table, ())
+    parts = [f'"{f.name}" {kinds.get(f.dataType.simpleString(), "TEXT")}' + (" NOT NULL" if f.name in need else "") for f in store.schema(table)]
+    if keys:
+        parts.append("PRIMARY KEY (" + ", ".join(f'"{k}"' for k in keys) + ")")
+    return f'CREATE TABLE IF NOT EXISTS "{table}" ({", ".join(parts)});'
+
+
 def sql_dump(df: DataFrame, table: str) -> DataFrame:
     """(statement): an INSERT for each row; quotes are doubled, bytes are X'..', nulls NULL."""
     quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
