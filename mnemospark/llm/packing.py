@@ -30,7 +30,7 @@ POOLS, POOL_STEPS = 400, 3_000
 #: Windows taken into a random pool beside the entries not placed.
 POOL_WINDOWS = (4, 8, 12, 16, 24, 32, 48)
 #: Windows of a pool that is packed by covering, steps of that search for a session, and of one try in turn.
-COVER_WINDOWS, COVER_STEPS, COVER_TRIES = 200, 600_000, (1_000, 10_000)
+COVER_WINDOWS, COVER_STEPS, COVER_TRIES = 1_200, 600_000, (1_000, 10_000)
 
 Bins = Counter  # of tuples ((size, count), ...), largest size first
 
@@ -306,7 +306,7 @@ def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL
         exact_fill(pool, capacity, 0, [pool_steps], found)
         if len(found) >= m:
             full, left = full - drawn + Counter(found), pool - _items(Counter(found))
-    steps, turn = cover_steps, 0
+    steps, turn, covered, patterns = cover_steps, 0, None, []
     while left and steps > 0 and sum(left.values()) <= 3 * COVER_WINDOWS:
         # pools of windows with few pieces are exchanged as a whole: all patterns that fill a window are covered with
         m = min(sum(full.values()), max(0, COVER_WINDOWS - -(-sum(s * c for s, c in left.items()) // capacity)))
@@ -316,8 +316,10 @@ def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL
         if sum(pool.values()) * capacity > 3 * sum(s * c for s, c in pool.items()):
             break  # more than three pieces a window: the small searches below do better
         limit = COVER_TRIES[turn % len(COVER_TRIES)]
-        patterns = few_pieces(pool, capacity)
-        turn, steps = turn + 1, steps - limit
+        if pool != covered:
+            covered, patterns = pool, few_pieces(pool, capacity)
+        # a step costs as much more as there are more patterns to look at
+        turn, steps = turn + 1, steps - limit * max(1, len(patterns) // 5000)
         found = cover(pool, patterns, draw, limit)
         if found is not None:
             full, left = full - drawn + Counter(patterns[i] for i in found), Counter()

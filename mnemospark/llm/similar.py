@@ -392,7 +392,7 @@ class VectorIndex:
     def _floats(self, need: DataFrame) -> DataFrame:
         """(vid, vector) of the vectors needed, each in its newest state."""
         known = self.codes.join(need, "vid", "left_semi").select("collection_id", "id", "v1", "v2", "vid")
-        floats = self.raw.select("collection_id", "id", "vector", *_content()).join(broadcast_if_small(known), ["collection_id", "id", "v1", "v2"])
+        floats = self.raw.select("collection_id", "id", "vector", *_content()).join(broadcast_if_small(known, 10_000), ["collection_id", "id", "v1", "v2"])
         return floats.groupBy("vid").agg(F.first("vector").alias("vector"))
 
     def classes(self) -> DataFrame:

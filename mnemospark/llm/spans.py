@@ -4,7 +4,7 @@ The tokens are characters, since spans are asked for in characters. Every window
 hash, the windows are counted in Spark, and repeated ones merge into maximal intervals. To keep what is shuffled small,
 windows are counted twice: first together with all others that have the same least seed (the least hash of the windows
 of half the length inside), by one row for each different seed of a text; a seed that stands in one text only settles
-all windows that have it, as equal windows have equal least seeds. Every other window is counted by its own hash of 96
+all windows that have it, as equal windows have equal least seeds. Every other window is counted by its own hash of 80
 bits. The texts that hold a window are known by their number and the combined hash of their keys, so records that share
 windows with the same texts form one group.
 """
@@ -54,7 +54,7 @@ class Hasher:
     def windows(self, sums: np.ndarray, k: int, lo: int, hi: int) -> np.ndarray:
         """Mixed hashes of the windows of k characters that start in [lo, hi)."""
         h = (sums[lo + k : hi + k] - sums[lo:hi]) * self.down[lo:hi]
-        h ^= h >> np.uint64(32)
+        h ^= h >> np.uint64(48)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         return h
@@ -159,12 +159,12 @@ def _windows(least: int, seed: int, near: int):
                         taken.append(spans.pop(0))
                         size += taken[-1][1] - taken[-1][0]
                     h1 = np.concatenate([one.windows(s1, least, p, q) for p, q, _ in taken])
-                    h2 = np.concatenate([two.windows(s2, least, p, q) for p, q, _ in taken]) >> np.uint64(32)
+                    h2 = np.concatenate([two.windows(s2, least, p, q) for p, q, _ in taken]) >> np.uint64(48)
                     pos = np.concatenate([np.arange(p, q, dtype=np.int32) for p, q, _ in taken])
                     most = np.concatenate([np.full(q - p, n, np.int64) for p, q, n in taken])
                     # windows that the text holds more than once count once
                     new = np.zeros(len(h1), bool)
-                    values, where = np.unique(h1 ^ (h2 << np.uint64(20)), return_index=True)
+                    values, where = np.unique(h1 ^ (h2 << np.uint64(40)), return_index=True)
                     new[where[~np.isin(values, seen)]] = True
                     if spans or len(seen):
                         seen = np.union1d(seen, values)
@@ -208,7 +208,10 @@ class SharedSpans:
         No task gets more rows of one window than about ``per_task`` texts have: where the least seed says that there may
         be more, they are summed up before they are shuffled, and what they sum up to is joined with them.
         """
-        texts, combined = F.sum(F.col("first").cast("long")), F.bit_xor(F.when(F.col("first"), F.xxhash64("k1", "k2")).otherwise(F.lit(0).cast("long")))
+        if "first" in rows.columns:
+            texts, combined = F.sum(F.col("first").cast("long")), F.bit_xor(F.when(F.col("first"), F.xxhash64("k1", "k2")).otherwise(F.lit(0).cast("long")))
+        else:
+            texts, combined = F.count("*"), F.bit_xor(F.xxhash64("k1", "k2"))
         w = Window.partitionBy("h1", "h2")
         few = (rows.filter(F.col("most") <= self.per_task) if self.hot else rows).withColumns({"n": texts.over(w), "together": combined.over(w)})
         if not self.hot:
@@ -219,7 +222,7 @@ class SharedSpans:
 
     def groups(self) -> DataFrame:
         """(n, together, k1, k2): for each window that is shared, the texts that hold it; each set of texts comes out once."""
-        return self._counted(self.rows.filter("first")).select("n", "together", "k1", "k2").distinct()
+        return self._counted(self.rows.filter("first").drop("first", "pos")).select("n", "together", "k1", "k2").distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), doc_id_a < doc_id_b, distinct: records that share a span."""
