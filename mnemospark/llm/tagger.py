@@ -60,10 +60,9 @@ class Tagger:
         # over O, a run of other labels gains a way in, a way out and its inner steps, and loses O's lead at each place; at
         # the ends of a text the way in or out is a start or an end
         t = self.p["trans"].astype(float) - float(self.p["trans"][0, 0])
-        way_in = max(t[0, 1:].max(), float(self.p["start"][1:].max() - self.p["start"][0]))
-        way_out = max(t[1:, 0].max(), float(self.p["end"][1:].max() - self.p["end"][0]))
         self.inner = float(t[1:, 1:].max())
-        self.ways = float(way_in + way_out - self.inner)
+        self.way_in, self.way_out = float(t[0, 1:].max()), float(t[1:, 0].max())
+        self.at_start, self.at_end = float(self.p["start"][1:].max() - self.p["start"][0]), float(self.p["end"][1:].max() - self.p["end"][0])
 
     @classmethod
     def fresh(cls, h: int, seed: int = 0) -> "Tagger":
@@ -156,12 +155,17 @@ class Tagger:
         begin = np.concatenate([[0], np.cumsum([len(scores[i]) for i in some])[:-1]])
         # the best run of each text is a largest sum of successive places; a fall at each text's begin parts the texts
         gain = (self.inner - (flat[0] - rival)).astype(np.float64)
+        stop = np.append(begin[1:], len(gain))
+        plain = np.concatenate([[0.0], np.cumsum(gain)])
+        base = np.repeat(plain[begin], stop - begin)
+        head, tail = np.maximum.reduceat(plain[1:] - base, begin), plain[stop] - np.minimum.reduceat(plain[:-1], begin)
         falls = np.zeros(len(gain))
         falls[begin] = -1e7
         upto = np.cumsum(gain + falls)
         floor = np.minimum.accumulate(np.concatenate([[0.0], upto[:-1]]) + falls)
-        best_run = np.maximum.reduceat(upto - floor, begin)
-        hard = [some[j] for j in np.flatnonzero(best_run + self.ways > -1e-3).tolist()]
+        inside = np.maximum.reduceat(upto - floor, begin)
+        best = np.max([inside + self.way_in + self.way_out, head + self.at_start + self.way_out, tail + self.way_in + self.at_end, plain[stop] - plain[begin] + self.at_start + self.at_end], axis=0)
+        hard = [some[j] for j in np.flatnonzero(best - self.inner > -1e-3).tolist()]
         hard.sort(key=lambda i: -len(scores[i]))
         trans = np.ascontiguousarray(self.p["trans"])  # from, to
         for at in range(0, len(hard), 256):
