@@ -31,6 +31,8 @@ POOLS, POOL_STEPS = 400, 3_000
 POOL_WINDOWS = (4, 8, 12, 16, 24, 32, 48)
 #: Windows of a pool that is packed by covering, steps of that search for a session, and of one try in turn.
 COVER_WINDOWS, COVER_STEPS, COVER_TRIES = 1_200, 600_000, (1_000, 10_000)
+#: Different sizes in a pool to be covered, at most, as patterns grow with their square; with more, many small searches do.
+COVER_SIZES = 1_200
 
 Bins = Counter  # of tuples ((size, count), ...), largest size first
 
@@ -313,8 +315,8 @@ def refill(bins: Bins, capacity: int, pools: int = POOLS, pool_steps: int = POOL
         names = sorted(full)
         drawn = Counter(draw.sample(names, m, counts=[full[p] for p in names]) if m else ())
         pool = left + _items(drawn)
-        if sum(pool.values()) * capacity > 3 * sum(s * c for s, c in pool.items()):
-            break  # more than three pieces a window: the small searches below do better
+        if len(pool) > COVER_SIZES or sum(pool.values()) * capacity > 3 * sum(s * c for s, c in pool.items()):
+            break  # too many patterns, or more than three pieces a window
         limit = COVER_TRIES[turn % len(COVER_TRIES)]
         if pool != covered:
             covered, patterns = pool, few_pieces(pool, capacity)
