@@ -1,4 +1,4 @@
-"""Texts written by hand for measuring the tagger: none of these carriers, layouts and names is made by the training code."""
+"""Texts written by hand for measuring the tagger: none of these carriers and values stands in the training code; most layouts can be made by it."""
 
 CARRIERS = {
     "email": ["If the export breaks again, drop {} a line.", "Kindly add {} to the distribution list before Thursday.", "{} has been bouncing since the migration.", "The invoice went to {}, which nobody reads.", "Die Rechnung ging an {} und kam zurück.", "On m'a dit d'utiliser {} pour les réclamations.", "La factura se mandó a {} por error.", "Can you check whether {} is still subscribed?"],

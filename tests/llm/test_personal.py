@@ -31,7 +31,7 @@ def test_made_up_accuracy(tagger):
 
 
 def test_held_out_carriers_and_layouts(tagger):
-    """Sentences, names and layouts written by hand, which the training code can't make."""
+    """Sentences and values written by hand; the code that makes samples for training has none of them."""
     got = measure(lambda texts: [{k for _, _, k in found} for found in find_in(tagger, texts)])
     recall, precision = {k: v[0] for k, v in got.items()}, {k: v[1] for k, v in got.items()}
     assert min(recall[k] for k in ("email", "phone", "id_number", "street_address")) >= 0.9 and recall["person_name"] >= 0.8
