@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def find_in(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]
     out = []
     for text, labels in ((t, y) for p in _portions(texts) for t, y in zip(p, tagger.tag(p))):
         found = []
-        if labels.any():
+        if np.count_nonzero(labels):
             for a, b, k in spans(labels):
                 while a < b and text[a].isspace():
                     a += 1

@@ -1,4 +1,4 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: decoding and training."""
+"""A character-level bidirectional LSTM with CRF transitions: decoding in ONNX Runtime or else numpy, training in numpy."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pathlib import Path
 
 import numpy as np
 
+from .recurrent import runner
+
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 LABELS = ("O", *KINDS)
 K = len(LABELS)
@@ -19,8 +21,8 @@ VOCAB = len(_CLASSES) + len(_OWN)
 #: Characters of a window, and how many of them it shares with the next.
 WINDOW, OVERLAP = 288, 96
 
-#: Windows that are scored together.
-BATCH = 768
+#: Windows that are scored together: what a step reads and writes for them fits a core's cache.
+BATCH = 512
 
 
 def _table() -> np.ndarray:
@@ -53,9 +55,11 @@ class Tagger:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = {k: np.ascontiguousarray(v, np.float32) for k, v in params.items()}
         self.h = self.p["rf"].shape[0]
-        # sigmoid(x) = (tanh(x / 2) + 1) / 2, so one tanh does for all gates; the hidden state is kept doubled
+        self.runners: dict = {}
+        # sigmoid(x) = (tanh(x / 2) + 1) / 2, so one tanh does for all gates; the hidden state is kept doubled. Each gate has a
+        # table and a matrix of its own, so that its values for all rows stand next to each other.
         half = np.concatenate([np.full(3 * self.h, 0.5), np.ones(self.h)]).astype(np.float32)
-        self.fast = {n: np.ascontiguousarray(self.p[n] * half * (0.5 if n[0] == "r" else 1)) for n in ("xf", "xb", "rf", "rb")}
+        self.fast = {n: np.ascontiguousarray((self.p[n] * half * (0.5 if n[0] == "r" else 1)).reshape(-1, 4, self.h).swapaxes(0, 1), np.float32) for n in ("xf", "xb", "rf", "rb")}
         self.fast |= {n: self.p[n] * np.float32(0.5) for n in ("of", "ob")}
         # over O, a run of other labels gains a way in, a way out and its inner steps, and loses O's lead at each place; at
         # the ends of a text the way in or out is a start or an end
@@ -87,60 +91,86 @@ class Tagger:
         """To an .npz file of half precision."""
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
 
-    def _run(self, ids: np.ndarray, active: np.ndarray, d: str, out: np.ndarray) -> None:
-        """Add the direction's part of the emissions: ids and out are (T, B[, K]); the first active[t] rows are live at t."""
-        h, table, rec, proj = self.h, self.fast["x" + d], self.fast["r" + d], self.fast["o" + d]
-        n = ids.shape[1]
-        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        g, s = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
-        a, b = np.empty((n, h), np.float32), np.empty((n, h), np.float32)
-        for t in range(ids.shape[0]):
-            m = int(active[t])
-            if m < n:
-                n = m
-                hid, cell, g, s, a, b = hid[:m], cell[:m], g[:m], s[:m], a[:m], b[:m]
-                if not m:
-                    break
-            np.take(table, ids[t, :m], axis=0, out=g, mode="clip")
-            np.matmul(hid, rec, out=s)
-            np.add(g, s, out=g)
+    def _run(self, ids: np.ndarray, pos: np.ndarray, active: list[int], d: str) -> np.ndarray:
+        """The direction's part of the scores of some sequences, step by step: first of all that are live at the first step.
+
+        Sequences begin at the places pos of ids and go on to the right (f) or left (b); the first active[t] are live at step t.
+        """
+        h, table, rec, by = self.h, self.fast["x" + d], self.fast["r" + d], 1 if d == "f" else -1
+        n = len(pos)
+        hidden, cells = np.empty((sum(active), h), np.float32), np.zeros((n, h), np.float32)
+        gates, sums = np.empty(4 * n * h, np.float32), np.empty(4 * n * h, np.float32)
+        one, half, at, m = np.float32(1), np.float32(0.5), 0, -1
+        for t, live in enumerate(active):
+            if live != m:
+                m = live
+                g, s = gates[: 4 * m * h].reshape(4, m, h), sums[: 4 * m * h].reshape(4, m, h)
+                cell, sigmoids, (i, f, o, new), a = cells[:m], g[:3], g, s[0]
+            np.take(table, ids.take(pos[:m] + by * t), axis=1, out=g, mode="clip")
+            if t:
+                np.matmul(hid[:m], rec, out=s)
+                np.add(g, s, out=g)
             np.tanh(g, out=g)
-            new = g[:, 3 * h :]
-            np.multiply(g[:, h : 2 * h], cell, out=a)
+            np.add(sigmoids, one, out=sigmoids)
+            np.multiply(cell, f, out=cell)
+            np.multiply(i, new, out=a)
             np.add(cell, a, out=cell)
-            np.multiply(g[:, :h], new, out=b)
-            np.add(b, new, out=b)
-            np.add(cell, b, out=cell)
-            np.multiply(cell, np.float32(0.5), out=cell)
+            np.multiply(cell, half, out=cell)
             np.tanh(cell, out=a)
-            np.multiply(g[:, 2 * h : 3 * h], a, out=hid)
-            np.add(hid, a, out=hid)
-            np.matmul(hid, proj, out=out[t, :m])
+            hid = hidden[at : at + m]
+            np.multiply(o, a, out=hid)
+            at += m
+        return hidden @ self.fast["o" + d]
+
+    def _runner(self, d: str):
+        """The direction in ONNX Runtime, or None."""
+        if d not in self.runners:
+            self.runners[d] = runner(self.p["x" + d], self.p["r" + d], self.p["o" + d])
+        return self.runners[d]
+
+    def _side(self, ids: np.ndarray, first: np.ndarray, steps: np.ndarray, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The direction's scores of all sequences; where its step t stands: at places[begin + t] + rank."""
+        run = self._runner(d)
+        order = np.argsort(-steps, kind="stable")[: np.count_nonzero(steps)]
+        begin, rank, done, known = np.zeros(len(steps), np.intp), np.zeros(len(steps), np.intp), 0, 0
+        scores, places = [np.zeros((0, K), np.float32)], [np.zeros(0, np.intp)]
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            top = int(steps[rows[0]])
+            if run:  # all rows to the last step; beyond a row's own end nothing is read from it
+                active = np.full(top, len(rows))
+                where = first[rows] + (1 if d == "f" else -1) * np.arange(top)[:, None]
+                scores.append(run(ids.take(where, mode="clip")).reshape(-1, K))
+            else:
+                active = len(rows) - np.searchsorted(steps[rows][::-1], np.arange(top), side="right")
+                scores.append(self._run(ids, first[rows], active.tolist(), d))
+            begin[rows], rank[rows] = known, np.arange(len(rows))
+            places.append(done + np.cumsum(active) - active)
+            done, known = done + len(scores[-1]), known + top
+        return np.concatenate(scores), np.concatenate(places), begin, rank
+
+    def _scores(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(places, K) scores of the places low to high of each window, one window after the other.
+
+        A window is size characters of ids from start; neither direction goes on past the last place that is asked for.
+        """
+        kept = high - low
+        step = np.arange(int(kept.sum())) + np.repeat(low - (np.cumsum(kept) - kept), kept)
+        scores, places, begin, rank = self._side(ids, start, high, "f")
+        out = scores.take(places.take(step + np.repeat(begin, kept)) + np.repeat(rank, kept), axis=0)
+        scores, places, begin, rank = self._side(ids, start + size - 1, size - low, "b")
+        out += scores.take(places.take(np.repeat(begin + size - 1, kept) - step) + np.repeat(rank, kept), axis=0)
+        out += self.p["bias"]
+        return out
 
     def emissions(self, windows: list[np.ndarray]) -> list[np.ndarray]:
         """(length, K) scores for each window of character ids."""
-        order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
-        result: list[np.ndarray] = [np.zeros((0, K), np.float32)] * len(windows)
-        for at in range(0, len(order), BATCH):
-            rows = [i for i in order[at : at + BATCH] if len(windows[i])]
-            if not rows:
-                continue
-            lengths = np.array([len(windows[i]) for i in rows])
-            top = int(lengths[0])
-            fwd, bwd = np.zeros((len(rows), top), np.intp), np.zeros((len(rows), top), np.intp)
-            for r, i in enumerate(rows):
-                w = windows[i]
-                fwd[r, : len(w)] = w
-                bwd[r, : len(w)] = w[::-1]
-            active = (lengths[None, :] > np.arange(top)[:, None]).sum(1)
-            ef, eb = np.empty((top, len(rows), K), np.float32), np.empty((top, len(rows), K), np.float32)
-            self._run(np.ascontiguousarray(fwd.T), active, "f", ef)
-            self._run(np.ascontiguousarray(bwd.T), active, "b", eb)
-            bias = self.p["bias"]
-            for r, i in enumerate(rows):
-                n = lengths[r]
-                result[i] = ef[:n, r] + (eb[:n, r][::-1] + bias)
-        return result
+        if not windows:
+            return []
+        size = np.array([len(w) for w in windows], np.intp)
+        stop = np.cumsum(size)
+        scores = self._scores(np.concatenate(windows).astype(np.int32), stop - size, size, np.zeros_like(size), size)
+        return [scores[b - n : b] for b, n in zip(stop.tolist(), size.tolist())]
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best path over each whole text, from its (length, K) scores."""
@@ -201,31 +231,17 @@ class Tagger:
         Long texts are scored in overlapping windows; of two windows the one in which a character stands further inside
         gives its scores, and the path is decoded over the whole text.
         """
-        windows, owner = [], []
-        for i, text in enumerate(texts):
-            ids = char_ids(text)
-            at = 0
-            while True:
-                windows.append(ids[at : at + WINDOW])
-                owner.append((i, at))
-                if at + WINDOW >= len(ids):
-                    break
-                at += WINDOW - OVERLAP
-        scored = self.emissions(windows)
-        out: list[np.ndarray] = []
-        parts: list[tuple[int, np.ndarray]] = []
-        for j, (i, at) in enumerate(owner):
-            parts.append((at, scored[j]))
-            if j + 1 < len(owner) and owner[j + 1][0] == i:
-                continue
-            if len(parts) == 1:
-                e = parts[0][1]
-            else:
-                joined = [p[(OVERLAP // 2 if k else 0) : (len(p) if k == len(parts) - 1 else WINDOW - OVERLAP // 2)] for k, (_, p) in enumerate(parts)]
-                e = np.concatenate(joined)
-            out.append(e)
-            parts = []
-        return self.decode(out)
+        ids, size = char_ids("".join(texts)).astype(np.int32), np.array([len(t) for t in texts], np.intp)
+        stop = np.cumsum(size)
+        count = 1 + np.maximum(0, -(-(size - WINDOW) // (WINDOW - OVERLAP)))
+        owner = np.repeat(np.arange(len(texts)), count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        at = nth * (WINDOW - OVERLAP)
+        width = np.minimum(WINDOW, size[owner] - at)
+        low = np.where(nth > 0, OVERLAP // 2, 0)
+        high = np.where(nth < count[owner] - 1, WINDOW - OVERLAP // 2, width)
+        scores = self._scores(ids, (stop - size)[owner] + at, width, low, high)
+        return self.decode([scores[b - n : b] for b, n in zip(stop.tolist(), size.tolist())])
 
 
 def spans(labels: np.ndarray) -> list[tuple[int, int, int]]:

@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from mnemospark.llm import labelled
 from mnemospark.llm.labelled import Maker, surroundings
 from mnemospark.llm.personal import find_in, personal_spans, replace_personal
-from mnemospark.llm.tagger import K, LABELS, VOCAB, Tagger, gradients, spans, train
+from mnemospark.llm.tagger import K, LABELS, VOCAB, WINDOW, Tagger, char_ids, gradients, spans, train
 from mnemospark.llm.personal import MODEL
 
 from .held_out import CARRIERS, VALUES, measure
@@ -110,6 +111,41 @@ def test_long_texts_as_short_ones(tagger):
         assert any(k == "email" and text[a:b] == "anna.berg@quillworks.example" for a, b, k in find_in(tagger, [text])[0])
 
 
+def test_runtime_as_numpy(tagger, monkeypatch):
+    """ONNX Runtime and numpy give the same scores and labels, texts of all lengths, empty ones too."""
+    pytest.importorskip("onnxruntime")
+    maker = Maker(8)
+    texts = [maker.sample(PLAIN)[0] for _ in range(200)]
+    texts += ["", "x", texts[0] * 40, "", "é€\U0001f600 " * 200]
+    windows = [char_ids(t)[:WINDOW] for t in texts]
+    plain = Tagger(tagger.p)
+    monkeypatch.setattr(plain, "_runner", lambda d: None)
+    assert tagger._runner("f") and tagger._runner("b")
+    for a, b, w in zip(tagger.emissions(windows), plain.emissions(windows), windows):
+        assert a.shape == b.shape == (len(w), K) and np.abs(a - b).max(initial=0) < 1e-4
+    for a, b, t in zip(tagger.tag(texts), plain.tag(texts), texts):
+        assert len(a) == len(t) and a.tolist() == b.tolist()
+    assert tagger.tag([]) == [] and tagger.emissions([]) == []
+
+
+def test_cost_of_tagging(tagger):
+    """A character costs less than 1.7 times what numpy takes for the tanh of its gates and cells alone (2.0 to 2.9 when numpy did it all)."""
+    pytest.importorskip("onnxruntime")
+    maker = Maker(9)
+    texts = [" ".join(PLAIN[(i + k) % 4] for k in range(4)) for i in range(2000)] + [maker.sample(PLAIN)[0] for _ in range(200)]
+    chars, x = sum(map(len, texts)), np.random.default_rng(0).normal(0, 1.5, (4, 768, 20)).astype(np.float32)
+    y = np.empty_like(x)
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    tagger.tag(texts[:10])
+    ours, tanh = (min(t) for t in zip(*((seconds(lambda: tagger.tag(texts)), seconds(lambda: [np.tanh(x, out=y) for _ in range(100)])) for _ in range(5))))
+    assert ours / chars < 1.7 * 200 * tanh / (100 * x.size)
+
+
 def test_frames(spark):
     rows = [("1", "Please write to tiberia.lund@oakmarrow.test when it is done."), ("2", None), ("3", ""), (None, "Assigned to Kasimira Ostrowick for review."), ("5", "Nothing here."), ("1", "Call 505-555-0179 before noon. " + "x " * 20_000)]
     df = spark.createDataFrame(rows, "id string, body string").selectExpr("*", "1 AS text", "2 AS kind", "'z' AS start")
